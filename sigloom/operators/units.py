@@ -175,26 +175,29 @@ def decode_units(
         return pd.DataFrame(out, columns=["ent", "part", "no", "m"])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Scores before and the state at the end of each chunk of one entity."""
-        pdf = pdf.sort_values(["part", "no"])
+        """Scores before and the state at the end of each chunk, by entity; one call takes many entities."""
+        pdf = pdf.sort_values(["ent", "part", "no"], na_position="first")
         ms = np.array(pdf["m"].tolist()).reshape(-1, n, n)
-        v = np.zeros(n)
-        starts, backs = [], []
-        for m in ms:
-            starts.append(v)
-            s = v[:, None] + m
-            backs.append(s.argmax(0))
-            v = s.max(0)
-            v = v - v.max()
-        end = int(v.argmax())
-        ends = []
-        for b in reversed(backs):
-            ends.append(end)
-            end = int(b[end])
-        return pd.DataFrame({"part": pdf["part"].to_numpy(), "no": pdf["no"].to_numpy(), "start": [s.tolist() for s in starts], "last": ends[::-1]})
+        ent = pdf["ent"].fillna("\0").to_numpy(object)
+        cuts = [0, *(np.flatnonzero(ent[1:] != ent[:-1]) + 1), len(ent)]
+        starts, lasts = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            v, backs, ends = np.zeros(n), [], []
+            for m in ms[a:b]:
+                starts.append(v.tolist())
+                s = v[:, None] + m
+                backs.append(s.argmax(0))
+                v = s.max(0)
+                v = v - v.max()
+            end = int(v.argmax())
+            for back in reversed(backs):
+                ends.append(end)
+                end = int(back[end])
+            lasts += ends[::-1]
+        return pd.DataFrame({"part": pdf["part"].to_numpy(), "no": pdf["no"].to_numpy(), "start": starts, "last": lasts})
 
     matrices = rows.groupBy("part").applyInPandas(transfer, "ent string, part int, no int, m array<double>")
-    states = materialise(matrices.groupBy("ent").applyInPandas(chain, "part int, no int, start array<double>, last int"))
+    states = materialise(matrices.groupBy(F.pmod(F.hash("ent"), F.lit(4 * parts))).applyInPandas(chain, "part int, no int, start array<double>, last int"))
 
     def trace(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         known = {int(r.no): (np.array(r.start), int(r.last)) for r in right.itertuples()}
