@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import leakage, matching, packing, sampling
+from sigloom.llm import leakage, matching, packing, sampling, sentences
 from sigloom.session import table
 
 
@@ -96,9 +96,19 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every document."""
+    return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences by document, and the longest."""
+    return p8_found(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.col("end_char") - F.col("start_char")).alias("longest"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_deficits, p4_sample, p4_sample_counts, p5_found, p5_labels, p5_unmatched, p6_found, p6_containers, p6_fill, p7_found, p7_leaks, p7_items)
+    for f in (p4_found, p4_deficits, p4_sample, p4_sample_counts, p5_found, p5_labels, p5_unmatched, p6_found, p6_containers, p6_fill, p7_found, p7_leaks, p7_items, p8_found, p8_lengths)
 }
 
 _P4 = r"""
