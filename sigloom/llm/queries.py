@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import leakage, matching, packing, sampling, sentences
+from sigloom.llm import clusters, leakage, matching, packing, sampling, sentences
 from sigloom.session import table
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "grp_concat_compo_pca3")
+    return clusters.weight_vectors(x, "row_id", "compo", "freq", sorted(c for c in x.columns if c.startswith("ch_")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every group of alike weights but its smallest, with the smallest."""
+    g = clusters.similar_groups(_vectors(spark, d))
+    return g.where("row_id <> group_id").select(F.col("group_id").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Density clusters with size, stability and most typical rows."""
+    return clusters.density_clusters(_vectors(spark, d))[1]
+
+
 def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ref = table(spark, d, "condition_ref")
     trials = sampling.readable_trials(table(spark, d, "info"), ref)
@@ -108,7 +124,7 @@ def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_deficits, p4_sample, p4_sample_counts, p5_found, p5_labels, p5_unmatched, p6_found, p6_containers, p6_fill, p7_found, p7_leaks, p7_items, p8_found, p8_lengths)
+    for f in (p1_found, p1_clusters, p4_found, p4_deficits, p4_sample, p4_sample_counts, p5_found, p5_labels, p5_unmatched, p6_found, p6_containers, p6_fill, p7_found, p7_leaks, p7_items, p8_found, p8_lengths)
 }
 
 _P4 = r"""
