@@ -100,3 +100,17 @@ def input_partitions(df: DataFrame) -> int:
     """Partitions for a wide step: the session's shuffle width, at least two tasks a core."""
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df on at least two partitions a core, for steps that cost far more than a shuffle of their rows.
+
+    A scan that already has as many partitions (by files and bytes) stays as it is; a smaller one is repartitioned by a
+    unique key, so that a few small files don't leave cores idle.
+    """
+    spark = df.sparkSession
+    want = 2 * spark.sparkContext.defaultParallelism
+    per = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if max(len(df.inputFiles()), plan_bytes(df) // max(per, 1)) >= want:
+        return df
+    return df.repartition(want, F.col(key))
