@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.session import plan_bytes
+from sigloom.session import plan_bytes, spread
 
 #: Letters of other scripts that look like Latin ones. Fixed values, position by position.
 LOOKS_FROM = "авекмнорстухіјѕһԁԛԝү" + "αβγενικορτυχωη" + "ıɡɑ"
@@ -54,27 +54,40 @@ class ItemIndex:
         self.seed = {False: word_seed, True: char_seed}
         self.units: dict[int, list[str]] = {}
         self.cjk: dict[int, bool] = {}
-        self.seeds: dict[bool, dict[str, set[int]]] = {False: defaultdict(set), True: defaultdict(set)}
+        self.seeds: dict[bool, dict[str, list[tuple[int, int]]]] = {False: defaultdict(list), True: defaultdict(list)}
         for item, text in items:
             u, cjk = units(text)
             self.units[item], self.cjk[item] = u, cjk
             k = self.seed[cjk]
             for i in range(len(u) - k + 1):
-                self.seeds[cjk]["\0".join(u[i : i + k])].add(item)
+                self.seeds[cjk]["\0".join(u[i : i + k])].append((item, i))
 
-    def candidates(self, words: list[str], chars: list[str]) -> dict[int, bool]:
-        found: dict[int, bool] = {}
+    def candidates(self, words: list[str], chars: list[str]) -> dict[bool, dict[int, set[int]]]:
+        """By kind of unit: items that share a seed, with the diagonals (place in the text less place in the item) of their seeds."""
+        found: dict[bool, dict[int, set[int]]] = {False: {}, True: {}}
         for cjk, u in ((False, words), (True, chars)):
-            s, k = self.seeds[cjk], self.seed[cjk]
+            s, k, f = self.seeds[cjk], self.seed[cjk], found[cjk]
             if s:
-                for i in range(len(u) - k + 1):
-                    hit = s.get("\0".join(u[i : i + k]))
-                    if hit:
-                        for item in hit:
-                            found[item] = cjk
+                for j in range(len(u) - k + 1):
+                    for item, i in s.get("\0".join(u[j : j + k]), ()):
+                        f.setdefault(item, set()).add(j - i)
         return found
 
 
+def may_cover(a: np.ndarray, b: np.ndarray, diagonals: set[int], least: int, altered: float) -> bool:
+    """Whether some window of `least` units of a can be covered on the seeds' diagonals and those beside them.
+
+    An upper bound: a stretch of `least` units or more has a window of that size with at most twice its share altered.
+    """
+    reach = int(np.ceil(altered * least)) + 1
+    d = np.unique(np.fromiter(diagonals, dtype=np.int64, count=len(diagonals))[:, None] + np.arange(-reach, reach + 1)[None])
+    at = d[:, None] + np.arange(len(a))[None]
+    inside = (at >= 0) & (at < len(b))
+    hit = ((b[np.clip(at, 0, len(b) - 1)] == a[None]) & inside).any(0)
+    c = np.concatenate([[0], np.cumsum(hit)])
+    return bool((c[least:] - c[:-least]).max() >= least - int(np.ceil(2 * altered * least)))
+
+
 def common_runs(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """Maximal common runs (start in a, start in b, length) of at least k units, by Karp-Rabin hashes of k units."""
     if len(a) < k or len(b) < k:
@@ -184,6 +197,7 @@ def find_leaks(
     """
     x = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null and text <> ''")
     its = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    x = spread(x, "doc")
     n_blocks = max(1, -(-plan_bytes(its) // BLOCK_BYTES))
     out = None
     for b in range(n_blocks):
@@ -207,18 +221,16 @@ def _scan(x: DataFrame, rows: list, min_words: int, min_chars: int, altered: flo
                 words = _WORD.findall(t)
                 chars = list("".join(words)) if has_cjk and _CJK.search(t) else []
                 found = index.candidates(words, chars)
-                if not found:
-                    continue
                 for cjk, u in ((False, words), (True, chars)):
-                    mine = [i for i, c in found.items() if c == cjk]
+                    mine = found[cjk]
                     if not mine:
                         continue
                     vocab: dict[str, int] = {}
                     b = np.array([vocab.setdefault(w, len(vocab) + 1) for w in u], dtype=np.int64)
                     least = min_chars if cjk else min_words
-                    for i in mine:
+                    for i, diagonals in mine.items():
                         a = np.array([vocab.get(w, -p - 1) for p, w in enumerate(index.units[i])], dtype=np.int64)
-                        if len(a) < least or int((a > 0).sum()) < least * (1 - altered) - 1:
+                        if len(a) < least or not may_cover(a, b, diagonals, least, altered):
                             continue
                         t_ = tiles(a, b, char_tile if cjk else word_tile)
                         n, gap = longest_stretch(t_, altered)

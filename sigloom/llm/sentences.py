@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigloom.session import spread
+
 #: End marks: by script. Fixed values.
 DOT = "."
 ELLIPSIS = "…"
@@ -428,4 +430,4 @@ def split_sentences(docs: DataFrame, doc_id: str, text: str, weights: dict[str,
             yield pd.DataFrame(out, columns=["d", "sent_no", "start_char", "end_char"])
 
     x = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
-    return x.mapInPandas(split, "d bigint, sent_no int, start_char int, end_char int").withColumnRenamed("d", doc_id)
+    return spread(x, "d").mapInPandas(split, "d bigint, sent_no int, start_char int, end_char int").withColumnRenamed("d", doc_id)
