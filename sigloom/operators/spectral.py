@@ -127,15 +127,15 @@ def resampled(series: DataFrame, keys: list[str], ratio: float) -> DataFrame:
 
 
 def fir_filter(x: np.ndarray, fs: float, high_pass: float | None = None, notches: list[float] = (), width: float = 1.0) -> np.ndarray:
-    """High-pass and notches with a smooth transition, in the frequency domain, on the mirrored series (TS3)."""
-    y = np.concatenate([x[::-1], x, x[::-1]])
+    """High-pass and notches with a smooth transition, in the frequency domain, on the series mirrored in its end points (TS3)."""
+    y = np.concatenate([2 * x[0] - x[:0:-1], x, 2 * x[-1] - x[-2::-1]])
     f = np.fft.rfftfreq(len(y), 1 / fs)
     gain = np.ones_like(f)
     if high_pass:
         gain *= np.clip((f - high_pass / 2) / (high_pass / 2), 0, 1)
     for h in notches:
         gain *= np.clip(np.abs(f - h) / width - 0.5, 0, 1)
-    return np.fft.irfft(np.fft.rfft(y) * gain, len(y))[len(x) : 2 * len(x)]
+    return np.fft.irfft(np.fft.rfft(y) * gain, len(y))[len(x) - 1 : 2 * len(x) - 1]
 
 
 def filtered(series: DataFrame, keys: list[str], fs: float, high_pass: float | None = None, notches: list[float] = ()) -> DataFrame:

@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.session import input_partitions, materialise, plan_bytes
+from sigloom.session import input_partitions, materialise
 
 #: Millimetres in one unit. Fixed values.
 UNITS = {"mm": 1.0, "m": 1000.0, "cm": 10.0, "um": 0.001, "in": 25.4}
 STATES = list(UNITS)
-#: Input bytes for one range part of the decoder, which one task holds.
-PART_BYTES = 32 * 1024 * 1024
+#: Rows of one range part of the decoder, which one task holds.
+PART_ROWS = 200_000
 
 #: A bare unit, as typed into a unit field: lower case, without brackets, blanks and final dots.
 BARE_UNIT = {
@@ -152,7 +152,7 @@ def decode_units(
     mid = float(np.log((low_mm * high_mm) ** 0.5))
     levels = base.groupBy("ent").agg(((F.coalesce(F.sum(sure), F.lit(0.0)) + 10 * mid) / (F.count(sure) + 10)).alias("level"))
     rows = base.join(levels, base["ent"].eqNullSafe(levels["ent"])).drop(levels["ent"])
-    parts = max(input_partitions(df), plan_bytes(df) // PART_BYTES)
+    parts = max(input_partitions(df), -(-df.count() // PART_ROWS))
     rows = materialise(rows.repartitionByRange(parts, "ent", "ord", "rid").sortWithinPartitions("ent", "ord", "rid").withColumn("part", F.spark_partition_id()))
     t = _transition(stay)
     n = len(STATES)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Largest side, in bytes of its plan statistics, that an operator may broadcast by itself.
 BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 
+#: Estimates from here on mean that Catalyst doesn't know the size.
+UNKNOWN_BYTES = 1 << 60
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -111,6 +114,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     want = 2 * spark.sparkContext.defaultParallelism
     per = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if max(len(df.inputFiles()), plan_bytes(df) // max(per, 1)) >= want:
+    size = plan_bytes(df)
+    known = size < UNKNOWN_BYTES
+    if known and max(len(df.inputFiles()), size // max(per, 1)) >= want:
         return df
     return df.repartition(want, F.col(key))
