@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.session import plan_bytes, spread
+from sigloom.session import spread
 
 #: Letters of other scripts that look like Latin ones. Fixed values, position by position.
 LOOKS_FROM = "авекмнорстухіјѕһԁԛԝү" + "αβγενικορτυχωη" + "ıɡɑ"
@@ -37,14 +37,20 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFKC", unicodedata.normalize("NFKD", text).translate(_DROP).casefold()).translate(_TABLE)
 
 
-def units(text: str) -> tuple[list[str], bool]:
-    """Comparison units of a text: words, or single letters where most letters are Chinese or Japanese."""
+def units(text: str) -> tuple[list[str], list[int], bool]:
+    """Comparison units of a text, the word each belongs to, and whether they are letters.
+
+    Units are runs of letters and digits; words are parted by white space, so that left-handed is one word of two
+    units. Where most letters are Chinese or Japanese, each letter is a unit and a word.
+    """
     t = fold(text)
-    words = _WORD.findall(t)
-    letters = sum(map(len, words))
+    runs = [(u, no) for no, w in enumerate(t.split()) for u in _WORD.findall(w)]
+    letters = sum(len(u) for u, _ in runs)
     if letters and len(_CJK.findall(t)) * 2 > letters:
-        return list("".join(words)), True
-    return words, False
+        chars = [c for u, _ in runs for c in u]
+        return chars, list(range(len(chars))), True
+    nos = {no: k for k, no in enumerate(dict.fromkeys(no for _, no in runs))}  # marks alone are no words
+    return [u for u, _ in runs], [nos[no] for _, no in runs], False
 
 
 class ItemIndex:
@@ -53,11 +59,12 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], word_seed: int, char_seed: int):
         self.seed = {False: word_seed, True: char_seed}
         self.units: dict[int, list[str]] = {}
+        self.word_no: dict[int, list[int]] = {}
         self.cjk: dict[int, bool] = {}
         self.seeds: dict[bool, dict[str, list[tuple[int, int]]]] = {False: defaultdict(list), True: defaultdict(list)}
         for item, text in items:
-            u, cjk = units(text)
-            self.units[item], self.cjk[item] = u, cjk
+            u, nos, cjk = units(text)
+            self.units[item], self.word_no[item], self.cjk[item] = u, nos, cjk
             k = self.seed[cjk]
             for i in range(len(u) - k + 1):
                 self.seeds[cjk]["\0".join(u[i : i + k])].append((item, i))
@@ -143,13 +150,14 @@ def tiles(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def longest_stretch(t: list[tuple[int, int, int]], altered: float) -> tuple[int, int]:
-    """(units, altered units) of the longest stretch of the item that tiles in line cover, at most `altered` of it altered."""
+def longest_stretch(t: list[tuple[int, int, int]], word_no: list[int], altered: float) -> tuple[int, int]:
+    """(words, altered words) of the longest stretch of the item that tiles in line cover, at most `altered` of it altered."""
     best, why = 0, 0
+    words = lambda a, b: word_no[b - 1] - word_no[a] + 1
     for s in range(len(t)):
         i0, j_end, i_end, gap = t[s][0], t[s][1] + t[s][2], t[s][0] + t[s][2], 0
-        if i_end - i0 > best:
-            best, why = i_end - i0, 0
+        if words(i0, i_end) > best:
+            best, why = words(i0, i_end), 0
         cur = s
         while True:
             # the next tile in line: ahead in both texts, with the smallest gap
@@ -166,7 +174,7 @@ def longest_stretch(t: list[tuple[int, int, int]], altered: float) -> tuple[int,
                 break
             gap += cost
             cur, i_end, j_end = nxt, t[nxt][0] + t[nxt][2], t[nxt][1] + t[nxt][2]
-            n = i_end - i0
+            n = words(i0, i_end)
             if gap <= max(1, int(np.ceil(altered * n))) and n > best:
                 best, why = n, gap
     return best, why
@@ -198,7 +206,7 @@ def find_leaks(
     x = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null and text <> ''")
     its = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     x = spread(x, "doc")
-    n_blocks = max(1, -(-plan_bytes(its) // BLOCK_BYTES))
+    n_blocks = max(1, -(-(its.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     out = None
     for b in range(n_blocks):
         block = its.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b) if n_blocks > 1 else its
@@ -233,7 +241,7 @@ def _scan(x: DataFrame, rows: list, min_words: int, min_chars: int, altered: flo
                         if len(a) < least or not may_cover(a, b, diagonals, least, altered):
                             continue
                         t_ = tiles(a, b, char_tile if cjk else word_tile)
-                        n, gap = longest_stretch(t_, altered)
+                        n, gap = longest_stretch(t_, index.word_no[i], altered)
                         if n >= least:
                             out.append((doc, i, n, gap, sum(r[2] for r in t_) / len(a)))
             yield pd.DataFrame(out, columns=["doc", "item", "stretch", "altered", "coverage"])

@@ -310,15 +310,16 @@ def _features(p: Place) -> list[str]:
 
 def _chain_features(p: Place, prev: int, base: list[str]) -> list[str]:
     out = [f"t={prev}"]
-    if p.marker_here:
-        out.append(f"marker,{prev}")
     if p.quote_here:
         out += [f"quote,{prev}", f"quote,{prev},{base[2] if len(base) > 2 else ''}"]
     return out
 
 
 def viterbi(ps: list[Place], w: dict[str, float]) -> list[int]:
-    """Best tags (1: boundary); weights score the boundary against inside."""
+    """Best tags (1: boundary); weights score the boundary against inside.
+
+    Two constraints are hard: a blank line is a boundary, and a list number right after a boundary is none.
+    """
     if not ps:
         return []
     NEG = float("-inf")
@@ -335,7 +336,7 @@ def viterbi(ps: list[Place], w: dict[str, float]) -> list[int]:
             x = score[prev] + b + sum(w.get(f, 0.0) for f in _chain_features(p, prev, base))
             if not p.sure and score[prev] > best[0]:
                 best[0], arg[0] = score[prev], prev
-            if x > best[1]:
+            if x > best[1] and not (prev and p.marker_here):  # a list number belongs to what follows
                 best[1], arg[1] = x, prev
         back.append((arg[0], arg[1]))
         score = best
