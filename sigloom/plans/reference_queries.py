@@ -1099,3 +1099,79 @@ def peak_delay(spark, d):
 
     x = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("file"), F.posexplode("embedding").alias("i", "a")).withColumn("a", F.col("a").cast("double"))
     return audio.peak_delay(audio.savgol(x, ["file"], "i", "a", 5, 2), "file", "i", "a", "0", tolerance=1.0, least=2)
+
+
+# ---- further projections and sources ----
+
+
+@query("SELECT DISTINCT row_id, compo, freq FROM grp_concat_compo_pca3 WHERE compo = 'compo1' AND freq IN ('theta', 'alpha')")
+def select_components(spark, d):
+    """FLT5, FLT6, FLT7: conjunctions of equality and membership."""
+    x = table(spark, d, "grp_concat_compo_pca3").where("compo = 'compo1'").where(F.col("freq").isin("theta", "alpha"))
+    return x.select("row_id", "compo", "freq").distinct()
+
+
+@query(W("ts") + "SELECT subj, trial, ch_idx, t_idx, round(value, 5) AS value FROM ts SEMI JOIN (SELECT DISTINCT subj, CAST(subj % 8 AS INTEGER) AS ch_idx FROM ts) k USING (subj, ch_idx)")
+def select_channels(spark, d):
+    """FLT8: channels picked by an index list of each subject."""
+    x = v.trial_signal(spark, d)
+    picks = x.select("subj", (F.col("subj") % 8).alias("ch_idx")).distinct()
+    return r(x.join(broadcast_if_small(picks), ["subj", "ch_idx"], "left_semi"), "value").select("subj", "trial", "ch_idx", "t_idx", "value")
+
+
+@query("SELECT DISTINCT coord_id, channel AS contact, round(x * 1000, 4) AS x_um, round(y * 1000, 4) AS y_um, round(z * 1000, 4) AS z_um FROM coords WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND abs(x) < 1000")
+def derive_columns(spark, d):
+    """FLT10, FLT11: rename, drop, scale."""
+    x = table(spark, d, "coords").where("x is not null and y is not null and z is not null and abs(x) < 1000")
+    return r(x.select("coord_id", F.col("channel").alias("contact"), *[(F.col(c) * 1000).alias(f"{c}_um") for c in "xyz"]).distinct(), "x_um", "y_um", "z_um", to=4)
+
+
+@query("SELECT coord_id, x, y, z FROM (SELECT DISTINCT coord_id, TRY_CAST(regexp_extract_all(p, '[-+]?\\d+\\.\\d+')[1] AS DOUBLE) AS x, TRY_CAST(regexp_extract_all(p, '[-+]?\\d+\\.\\d+')[2] AS DOUBLE) AS y, TRY_CAST(regexp_extract_all(p, '[-+]?\\d+\\.\\d+')[3] AS DOUBLE) AS z FROM (SELECT coord_id, '<point | contact : (' || x || ', ' || y || ', ' || z || ') mm>' AS p FROM coords WHERE abs(x) BETWEEN 0.01 AND 1000 AND abs(y) BETWEEN 0.01 AND 1000 AND abs(z) BETWEEN 0.01 AND 1000))")
+def printed_points(spark, d):
+    """SRC10: coordinates read back from printed points."""
+    from sigloom.sources.readers import decimals
+
+    c = table(spark, d, "coords").where("abs(x) between 0.01 and 1000 and abs(y) between 0.01 and 1000 and abs(z) between 0.01 and 1000")
+    p = F.concat(F.lit("<point | contact : ("), F.col("x").cast("string"), F.lit(", "), F.col("y").cast("string"), F.lit(", "), F.col("z").cast("string"), F.lit(") mm>"))
+    return c.select("coord_id", *decimals(p)).distinct()
+
+
+@query("SELECT DISTINCT freq, regexp_extract('TFR_' || freq || '_all.parquet', 'TFR_(.+)_all', 1) AS band FROM grp_concat_compo_pca3 WHERE freq IS NOT NULL AND regexp_full_match(freq, '[a-z_]+')")
+def band_from_file_name(spark, d):
+    """SRC9: the band's name in a file's name."""
+    from sigloom.sources.readers import name_part
+
+    x = table(spark, d, "grp_concat_compo_pca3").where("freq rlike '^[a-z_]+$'").select("freq").distinct()
+    return x.select("freq", name_part(F.concat(F.lit("/data/TFR_"), F.col("freq"), F.lit("_all.parquet")), r"TFR_(.+)_all").alias("band"))
+
+
+@query("SELECT subj, label, count(DISTINCT electrode) AS n FROM electrodes WHERE label IN (SELECT area_code FROM area_ref) GROUP BY ALL")
+def contacts_by_area(spark, d):
+    """AG7, JN11: counts by area after a key join."""
+    ref = table(spark, d, "area_ref").select(F.col("area_code").alias("label"))
+    x = table(spark, d, "electrodes").join(broadcast_if_small(ref), "label", "left_semi")
+    return x.groupBy("subj", "label").agg(F.countDistinct("electrode").alias("n"))
+
+
+@query()
+def preprocess_pipeline(spark, d):
+    """OR1: raw signal to condition means by band, one job over all subjects."""
+    from sigloom.plans import pipeline
+
+    return r(pipeline.preprocess(*pipeline.raw_views(spark, d)), "value")
+
+
+@query()
+def subject_pipeline_report(spark, d):
+    """OR2: one status row a subject from the pipeline's own inputs."""
+    from sigloom.plans import pipeline
+
+    return pipeline.report(*pipeline.raw_views(spark, d))
+
+
+@query()
+def cluster_profile(spark, d):
+    """CL9: clusters by area."""
+    x = cl.select_clusters(_group_weights(spark, d), ["band"], "gch", ["c1", "c2", "c3"], "kmeans")
+    areas = table(spark, d, "embeddings").select(F.col("vec_id").alias("gch"), F.col("label").alias("area"))
+    return x.join(broadcast_if_small(areas), "gch").groupBy("band", "cluster", "area").agg(F.count("*").alias("n"))
