@@ -88,6 +88,12 @@ def alignment(value: str, entry: str) -> float:
     return best
 
 
+def word_alignment(value: str, entry: str) -> float:
+    """Mean similarity word by word, to part entries that whole strings don't; 0 for different numbers of words."""
+    v, e = value.split(), entry.split()
+    return sum(map(edit_similarity, v, e)) / len(v) if v and len(v) == len(e) else 0.0
+
+
 def reference_index(ref: DataFrame, code: str, name: str, n: int = 3) -> DataFrame:
     """Inverted index (gram, code, weight): weights are inverse document frequencies, scaled to unit length by entry."""
 
@@ -163,11 +169,14 @@ def match_values(
                     out.append((v, c[0][1], float(c[0][0])))
                     continue
                 fs = forms(v)
-                al = sorted(((max(alignment(f, " ".join(re.findall(r"[0-9a-z]+", fold(nm)))) for f in fs), cd) for _, cd, nm in c), reverse=True) if fs else []
-                if al and al[0][0] >= check_accept and (len(al) == 1 or al[0][0] - al[1][0] >= check_margin):
-                    out.append((v, al[0][1], float(al[0][0])))
-                else:
-                    out.append((v, none, float(al[0][0]) if al else 0.0))
+                named = [(cd, " ".join(re.findall(r"[0-9a-z]+", fold(nm)))) for _, cd, nm in c]
+                ranked = sorted(((max(alignment(f, nm) for f in fs), cd, nm) for cd, nm in named), reverse=True) if fs else []
+                top = ranked[0][0] if ranked else 0.0
+                near = [x for x in ranked if top - x[0] < check_margin] if top >= check_accept else []
+                if len(near) > 1:  # near ties are parted word by word
+                    by_word = sorted(((max(word_alignment(f, nm) for f in fs), cd) for _, cd, nm in near), reverse=True)
+                    near = [(top, by_word[0][1])] if by_word[0][0] - by_word[1][0] >= check_margin else []
+                out.append((v, near[0][1] if near else none, float(top)))
             yield pd.DataFrame(out, columns=["v", "code", "score"])
 
     together = distinct.join(exact, "v", "left").join(best, "v", "left").select("v", "exact", "cands")
