@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,26 +28,36 @@ _LOOKS = {ord(a): b for a, b in zip(LOOKS_FROM, LOOKS_TO)}
 _DROP = {c: None for c in [*range(0x300, 0x370), 0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]}
 _TABLE = {**_LOOKS, **_DROP}
 _WORD = re.compile(r"[^\W_]+")
+_INVISIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in _DROP) + "]")
 _CJK = re.compile(r"[⺀-ヿ㐀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff々〆]")
 #: A block of items that one pass sends to all tasks.
 BLOCK_BYTES = 8 * 1024 * 1024
 
 
+@lru_cache(maxsize=1 << 16)
 def fold(text: str) -> str:
     """Case, width, accents, look-alike letters and invisible characters taken away."""
+    if text.isascii():
+        return text.lower()
     return unicodedata.normalize("NFKC", unicodedata.normalize("NFKD", text).translate(_DROP).casefold()).translate(_TABLE)
 
 
+def words_of(text: str) -> list[str]:
+    """Folded units of a whole text: characters that no word may keep go first, then each word is folded, once a worker."""
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text))
+    return [w for u in _WORD.findall(text) for w in ((u.lower(),) if u.isascii() else _WORD.findall(fold(u)))]
+
+
 def units(text: str) -> tuple[list[str], list[int], bool]:
     """Comparison units of a text, the word each belongs to, and whether they are letters.
 
     Units are runs of letters and digits; words are parted by white space, so that left-handed is one word of two
     units. Where most letters are Chinese or Japanese, each letter is a unit and a word.
     """
-    t = fold(text)
-    runs = [(u, no) for no, w in enumerate(t.split()) for u in _WORD.findall(w)]
+    runs = [(u, no) for no, w in enumerate(text.split()) for u in words_of(w)]
     letters = sum(len(u) for u, _ in runs)
-    if letters and len(_CJK.findall(t)) * 2 > letters:
+    if letters and sum(len(_CJK.findall(u)) for u, _ in runs) * 2 > letters:
         chars = [c for u, _ in runs for c in u]
         return chars, list(range(len(chars))), True
     nos = {no: k for k, no in enumerate(dict.fromkeys(no for _, no in runs))}  # marks alone are no words
@@ -61,23 +72,45 @@ class ItemIndex:
         self.units: dict[int, list[str]] = {}
         self.word_no: dict[int, list[int]] = {}
         self.cjk: dict[int, bool] = {}
-        self.seeds: dict[bool, dict[str, list[tuple[int, int]]]] = {False: defaultdict(list), True: defaultdict(list)}
+        self.vocab: dict[str, int] = {}
+        self.ids: dict[int, np.ndarray] = {}
+        self.seeds: dict[bool, dict[tuple, list[tuple[int, int]]]] = {False: defaultdict(list), True: defaultdict(list)}
         for item, text in items:
             u, nos, cjk = units(text)
             self.units[item], self.word_no[item], self.cjk[item] = u, nos, cjk
             k = self.seed[cjk]
+            ids = [self.vocab.setdefault(x, len(self.vocab)) for x in u]
+            self.ids[item] = np.array(ids, dtype=np.int64)
             for i in range(len(u) - k + 1):
-                self.seeds[cjk]["\0".join(u[i : i + k])].append((item, i))
-
-    def candidates(self, words: list[str], chars: list[str]) -> dict[bool, dict[int, set[int]]]:
-        """By kind of unit: items that share a seed, with the diagonals (place in the text less place in the item) of their seeds."""
-        found: dict[bool, dict[int, set[int]]] = {False: {}, True: {}}
-        for cjk, u in ((False, words), (True, chars)):
-            s, k, f = self.seeds[cjk], self.seed[cjk], found[cjk]
-            if s:
-                for j in range(len(u) - k + 1):
-                    for item, i in s.get("\0".join(u[j : j + k]), ()):
-                        f.setdefault(item, set()).add(j - i)
+                self.seeds[cjk][tuple(ids[i : i + k])].append((item, i))
+
+    def numbers(self, units_: list[str]) -> list[int]:
+        """Units as numbers of the items' vocabulary, -1 for all others."""
+        get = self.vocab.get
+        return [get(u, -1) for u in units_]
+
+    def candidates(self, ids: list[int], cjk: bool) -> dict[int, set[int]]:
+        """Items that share two seeds or more, with the diagonals (place in the text less place in the item) of their seeds.
+
+        A stretch that counts has two at least: n units with a tenth altered (rounded up) leave runs that hold
+        (unaltered units) - (seed - 1) x (runs) seeds, which is smallest, 2, for 21 words with 3 altered.
+        """
+        found: dict[int, set[int]] = {}
+        once: set[int] = set()
+        s, k, run = self.seeds[cjk], self.seed[cjk], 0
+        if s:
+            for e, x in enumerate(ids, 1):
+                run = run + 1 if x >= 0 else 0
+                if run >= k:
+                    for item, i in s.get(tuple(ids[e - k : e]), ()):
+                        if item in found:
+                            once.discard(item)
+                            found[item].add(e - k - i)
+                        else:
+                            found[item] = {e - k - i}
+                            once.add(item)
+        for item in once:
+            del found[item]
         return found
 
 
@@ -191,15 +224,15 @@ def find_leaks(
     min_chars: int = 40,
     altered: float = 0.1,
     word_seed: int = 5,
-    char_seed: int = 8,
+    char_seed: int = 6,
     word_tile: int = 2,
     char_tile: int = 3,
 ) -> DataFrame:
     """(doc_id, item_id, stretch, altered, coverage) of every document that holds a long enough stretch of an item.
 
     min_words consecutive words of the item (min_chars letters where it is Chinese or Japanese) must stand in the
-    document in line, with at most the share `altered` of them changed. A stretch of min_words with that share changed
-    holds an unchanged run of at least word_seed words, so the seeds miss none. Null and empty texts give nothing;
+    document in line, with at most the share `altered` of them changed. Any such stretch holds unchanged runs of word_seed
+    words (char_seed letters) at least, so the seeds miss none. Null and empty texts give nothing;
     repeated rows give one row; an item shorter than the minimum never leaks. Items are sent to the tasks in blocks of
     bounded size, however many there are; documents stream by and are never shuffled.
     """
@@ -225,19 +258,18 @@ def _scan(x: DataFrame, rows: list, min_words: int, min_chars: int, altered: flo
         for pdf in it:
             out = []
             for doc, text in zip(pdf["doc"], pdf["text"]):
-                t = fold(text)
-                words = _WORD.findall(t)
-                chars = list("".join(words)) if has_cjk and _CJK.search(t) else []
-                found = index.candidates(words, chars)
-                for cjk, u in ((False, words), (True, chars)):
-                    mine = found[cjk]
+                words = words_of(text)
+                for cjk in (False, True):
+                    if cjk and not (has_cjk and _CJK.search(text)):
+                        continue
+                    ids = index.numbers(list("".join(words)) if cjk else words)
+                    mine = index.candidates(ids, cjk)
                     if not mine:
                         continue
-                    vocab: dict[str, int] = {}
-                    b = np.array([vocab.setdefault(w, len(vocab) + 1) for w in u], dtype=np.int64)
+                    b = np.array(ids, dtype=np.int64)
                     least = min_chars if cjk else min_words
                     for i, diagonals in mine.items():
-                        a = np.array([vocab.get(w, -p - 1) for p, w in enumerate(index.units[i])], dtype=np.int64)
+                        a = index.ids[i]
                         if len(a) < least or not may_cover(a, b, diagonals, least, altered):
                             continue
                         t_ = tiles(a, b, char_tile if cjk else word_tile)
