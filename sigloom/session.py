@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side, in bytes of its plan statistics, that an operator may broadcast by itself.
-BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 8 * 1024 * 1024
 
 #: Estimates from here on mean that Catalyst doesn't know the size.
 UNKNOWN_BYTES = 1 << 60

@@ -1,6 +1,5 @@
 """Boundary semantics of the reference operators, on hand-written rows."""
 
-import io
 import wave
 
 import numpy as np
