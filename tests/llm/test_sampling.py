@@ -1,6 +1,3 @@
-import duckdb  # noqa: F401
-from pyspark.sql import functions as F
-
 from sigloom.llm import sampling as S
 
 INFO = "rec_id bigint, cohort string, event_id array<string>, loaded_at string, code int, need int"
