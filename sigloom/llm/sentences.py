@@ -48,7 +48,9 @@ _TOKEN = re.compile(
     rf"|(?P<end>(?:[.…{MARKS}])+)|(?P<gq>[{GREEK_QUESTION}])|(?P<q>[{re.escape(OPEN + CLOSE)}“”\"])"
     r"|(?P<thai>(?<=[฀-๏])[^\S\n\r \x85]+(?=[฀-๏]))"
 )
-_WORD_BEFORE = re.compile(rf"[^\s{SURE}]+$")
+_AFTER_SURE = re.compile(rf".*[{SURE}]", re.S)
+#: Characters that are seen by nobody and part nothing (Unicode category Cf).
+UNSEEN = frozenset(chr(c) for c in (*range(0xAD, 0xAE), *range(0x600, 0x606), 0x61C, 0x6DD, 0x70F, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFFF9, 0xFFFC)))
 _GLUED = re.compile(r"[^\W_A-ZÀ-ÞΑ-ΩА-Я)”\"»%]\.([^\W\d_a-zß-ÿα-ωа-я]\w*)$")
 _MARKER = re.compile(r"[\s\W]*(?:\d{1,3}|[^\W\d_])[.)]\Z")
 _NEXT_WORD = re.compile(r"[^\W\d_]+")
@@ -149,7 +151,7 @@ def places(text: str) -> list[Place]:
         p = e
         while p < n:
             k = p
-            while k < n and (text[k].isspace() or unicodedata.category(text[k]) == "Cf"):
+            while k < n and (text[k].isspace() or text[k] in UNSEEN):
                 k += 1
             gap = text[p:k]
             if k < n and roles.get(k, ("", 0))[0] == "close" and (not gap or (len(gap) <= 2 and text[k] in "»")):
@@ -161,16 +163,22 @@ def places(text: str) -> list[Place]:
             break
         if p <= depth_end:
             continue
-        while p < n and unicodedata.category(text[p]) == "Cf":
+        while p < n and text[p] in UNSEEN:
             p += 1
         skip_to = p
         c1 = text[p] if p < n else ""
         k = p
-        while k < n and (text[k].isspace() or unicodedata.category(text[k]) == "Cf"):
+        breaks = 0
+        while k < n and (text[k].isspace() or text[k] in UNSEEN):
+            breaks += text[k] in "\n\r\u2028\u2029\x85"
             k += 1
         nxt = text[k] if k < n else ""
-        if nxt and _TOKEN.match(text, p) and _TOKEN.match(text, p).lastgroup == "blank":
-            nxt = c1 = ""
+        if breaks and nxt:
+            m2 = _TOKEN.match(text, p) if breaks > 1 or text[p] == "\u2029" else None
+            if m2 is None and breaks > 1:  # blanks may stand before the line's end
+                m2 = _TOKEN.match(text, p + len(text[p:k]) - len(text[p:k].lstrip(" \t\xa0")))
+            if m2 is not None and m2.lastgroup == "blank":
+                nxt = c1 = ""
         before = text[max(para, s - 60) : s]
         if kind == "gq":
             letters = [c for c in text[max(last_end, s - 60) : s] if c.isalpha()]
@@ -196,9 +204,12 @@ def places(text: str) -> list[Place]:
             cls = "s"
         word = ""
         if mark == "dot":
-            w = _WORD_BEFORE.search(before)
-            word = w.group().lstrip("(«„“\"[¿¡（'") if w else ""
-            glued = _GLUED.search(word)
+            w = before.rsplit(None, 1)[-1] if before and not before[-1].isspace() else ""
+            if w and not w.isascii():
+                cut = _AFTER_SURE.match(w)
+                w = w[cut.end() :] if cut else w
+            word = w.lstrip("(«„“\"[¿¡（'")
+            glued = _GLUED.search(word) if "." in word else None
             word = glued.group(1) if glued else word
         abbr = _abbreviation(word, before, text, k, cls) if mark == "dot" else ""
         follow = ""
@@ -315,11 +326,11 @@ def _chain_features(p: Place, prev: int, base: list[str]) -> list[str]:
     return out
 
 
-def viterbi(ps: list[Place], w: dict[str, float], gold: list[int] | None = None, margin: float = 0.0) -> list[int]:
+def viterbi(ps: list[Place], w: dict[str, float], gold: list[int] | None = None, margin: float = 0.0, memo: dict | None = None) -> list[int]:
     """Best tags (1: boundary); weights score the boundary against inside.
 
     Two constraints are hard: a blank line is a boundary, and a list number right after a boundary is none.
-    With gold, every wrong tag gets `margin` on top, for training.
+    With gold, every wrong tag gets `margin` on top, for training. memo keeps potentials by what is seen, for fixed weights.
     """
     if not ps:
         return []
@@ -327,18 +338,23 @@ def viterbi(ps: list[Place], w: dict[str, float], gold: list[int] | None = None,
     score = [NEG, 0.0]  # a text begins after a boundary
     back: list[tuple[int, int]] = []
     for k, p in enumerate(ps):
-        base = _features(p)
-        b = sum(w.get(f, 0.0) for f in base)
-        inside = 0.0
+        seen = (p.obs, p.quote_here)
+        pot = None if memo is None else memo.get(seen)
+        if pot is None:
+            base = _features(p)
+            b = sum(w.get(f, 0.0) for f in base)
+            pot = tuple(b + sum(w.get(f, 0.0) for f in _chain_features(p, prev, base)) for prev in (0, 1))
+            if memo is not None:
+                memo[seen] = pot
+        outside = inside = 0.0
         if gold is not None:
-            b += margin * (1 - gold[k])
-            inside = margin * gold[k]
+            outside, inside = margin * (1 - gold[k]), margin * gold[k]
         best = [NEG, NEG]
         arg = [1, 1]
         for prev in (0, 1):
             if score[prev] == NEG:
                 continue
-            x = score[prev] + b + sum(w.get(f, 0.0) for f in _chain_features(p, prev, base))
+            x = score[prev] + outside + pot[prev]
             if not p.sure and score[prev] + inside > best[0]:
                 best[0], arg[0] = score[prev] + inside, prev
             if x > best[1] and not (prev and p.marker_here):  # a list number belongs to what follows
@@ -390,12 +406,12 @@ def strip_thai_marks(text: str) -> str:
     return re.sub(r"(?<=[฀-๏])[.!?…]+(?=\s|$)", "", text)
 
 
-def sentence_spans(text: str, w: dict[str, float]) -> list[tuple[int, int]]:
+def sentence_spans(text: str, w: dict[str, float], memo: dict | None = None) -> list[tuple[int, int]]:
     """(start, end) of every sentence in code points, without surrounding white space."""
     out = []
     start = 0
     ps = places(text)
-    for p, tag in zip(ps, viterbi(ps, w)):
+    for p, tag in zip(ps, viterbi(ps, w, memo=memo)):
         if tag:
             out.append((start, p.end))
             start = p.end
@@ -431,8 +447,9 @@ def split_sentences(docs: DataFrame, doc_id: str, text: str, weights: dict[str,
     w = fit(docs, doc_id, text, sample) if weights is None else weights
 
     def split(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict = {}  # as many entries as there are kinds of places, a few hundred
         for pdf in it:
-            out = [(d, i, a, b) for d, t in zip(pdf["d"], pdf["t"]) for i, (a, b) in enumerate(sentence_spans(t, w), 1)]
+            out = [(d, i, a, b) for d, t in zip(pdf["d"], pdf["t"]) for i, (a, b) in enumerate(sentence_spans(t, w, memo), 1)]
             yield pd.DataFrame(out, columns=["d", "sent_no", "start_char", "end_char"])
 
     x = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
