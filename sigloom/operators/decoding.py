@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.operators.ranking import hash_order, slots
@@ -61,19 +61,33 @@ def metrics(df: DataFrame, keys: list[str], y: str, pred: str, p2: str | None =
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
-def permuted_labels(df: DataFrame, id_: str, y: str, n: int, seed: int = 0) -> DataFrame:
-    """(perm, id, y_perm): labels dealt again in hash order, n times (DC6, DC14, DC19).
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], out: str) -> DataFrame:
+    """df with the row number of each row within its keys, in the order of (bucket, order).
 
-    Both orders are numbered within a permutation, and labels meet rows in an equi-join on the number.
+    Rows are ranked within a bucket only; buckets are offset by the counts of those before. So a group of any size is
+    ranked by many tasks, if its buckets are many.
     """
-    from pyspark.sql import Window
+    x = df.withColumn("_b", bucket)
+    n = x.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    return x.withColumn("_own", own).join(broadcast_if_small(n), [*keys, "_b"]).withColumn(out, F.col("_own") + F.col("_before")).drop("_b", "_own", "_before")
 
+
+def permuted_labels(df: DataFrame, id_: str, y: str, n: int, seed: int = 0, width: int = 65_536) -> DataFrame:
+    """(perm, id, y_perm): labels dealt again in hash order, n times (DC6, DC14, DC19); ids are whole numbers.
+
+    Both orders are numbered within a permutation (ids by ranges of `width`, hashes by their first digits), and labels
+    meet rows in an equi-join on the number.
+    """
     spark = df.sparkSession
     reps = spark.range(n).select(F.col("id").cast("int").alias("perm"))
     x = df.select(id_, y).crossJoin(F.broadcast(reps))  # n copies of the labels are the result itself
-    a = x.select("perm", id_, F.row_number().over(Window.partitionBy("perm").orderBy(id_)).alias("_r"))
-    b = x.select("perm", F.col(y).alias("y_perm"), F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col(id_).cast("string"))), id_)).alias("_r"))
-    return a.join(b, ["perm", "_r"]).select("perm", id_, "y_perm")
+    x = x.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("perm").cast("string"), F.col(id_).cast("string"))))
+    a = numbered(x.select("perm", id_), ["perm"], F.floor(F.col(id_) / width), [id_], "_r")
+    b = numbered(x.select("perm", id_, "_h", F.col(y).alias("y_perm")), ["perm"], F.substring("_h", 1, 2), ["_h", id_], "_r")
+    return a.join(b.select("perm", "_r", "y_perm"), ["perm", "_r"]).select("perm", id_, "y_perm")
 
 
 def p_value(null: DataFrame, observed: DataFrame, keys: list[str], value: str, greater: bool = True) -> DataFrame:
@@ -301,8 +315,6 @@ def permutation_run(df: DataFrame, keys: list[str], row: str, feature: str, valu
     spark = df.sparkSession
     reps = spark.range(n + 1).select(F.col("id").cast("int").alias("perm"))
     ids = df.where(~F.col(test)).select(*keys, row, label).distinct().crossJoin(F.broadcast(reps))
-    from pyspark.sql import Window
-
     a = ids.select(*keys, "perm", row, F.row_number().over(Window.partitionBy(*keys, "perm").orderBy(row)).alias("_r"))
     h = F.when(F.col("perm") == 0, F.format_string("%012d", F.col(row).cast("long"))).otherwise(hash_order(seed, "perm", row))
     b = ids.select(*keys, "perm", F.col(label).alias("_y"), F.row_number().over(Window.partitionBy(*keys, "perm").orderBy(h, row)).alias("_r"))
