@@ -60,18 +60,19 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/sigloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
 
 
 def release(*frames: DataFrame) -> None:
-    """Removes tables that materialise() wrote for these frames."""
+    """Removes the tables that materialise() wrote for these frames, once nothing reads them any more."""
     for df in frames:
-        files = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for entry in list(_written):
-            spark, path = entry
-            if any(f.endswith(path.removeprefix("file://").removeprefix("file:")) for f in files):
-                _delete(spark, path)
-                _written.remove(entry)
+        path = getattr(df, "_table_path", None)
+        entry = (df.sparkSession, path)
+        if path and entry in _written:
+            _delete(*entry)
+            _written.remove(entry)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
