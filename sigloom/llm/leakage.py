@@ -23,7 +23,7 @@ from sigloom.session import spread
 
 #: Letters of other scripts that look like Latin ones. Fixed values, position by position.
 LOOKS_FROM = "авекмнорстухіјѕһԁԛԝү" + "αβγενικορτυχωη" + "ıɡɑ"
-LOOKS_TO = "abekmhopctyxijshdqwy" + "abyenikoptuxwn" + "iga"
+LOOKS_TO = "abekmhopctyxijshdqwy" + "abyevikoptuxwn" + "iga"
 _LOOKS = {ord(a): b for a, b in zip(LOOKS_FROM, LOOKS_TO)}
 _DROP = {c: None for c in [*range(0x300, 0x370), 0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]}
 _TABLE = {**_LOOKS, **_DROP}
