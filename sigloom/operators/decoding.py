@@ -310,8 +310,11 @@ def compare_models(df: DataFrame, keys: list[str], row: str, feature: str, value
     return x.groupBy(*keys, "model").applyInPandas(run, f"{_schema(df, keys)}, model string, accuracy double, macro_f1 double")
 
 
-def permutation_run(df: DataFrame, keys: list[str], row: str, feature: str, value: str, label: str, test: str, n: int, seed: int = 0, c: float = 1.0) -> DataFrame:
-    """(keys..., perm, accuracy, log_loss): refits with the training rows' labels dealt again; perm 0 has the true labels (DC13, DC15)."""
+def permutation_run(df: DataFrame, keys: list[str], row: str, feature: str, value: str, label: str, test: str, n: int = 100, seed: int = 0, c: float = 1.0) -> DataFrame:
+    """(keys..., perm, accuracy, log_loss): refits with the training rows' labels dealt again, n times (DC13, DC15).
+
+    perm 0 has the true labels. The reference deals them once (iter_perm=1) in each of 100 iterations, hence n's default.
+    """
     spark = df.sparkSession
     reps = spark.range(n + 1).select(F.col("id").cast("int").alias("perm"))
     ids = df.where(~F.col(test)).select(*keys, row, label).distinct().crossJoin(F.broadcast(reps))

@@ -180,3 +180,14 @@ def test_streaming_forms(spark, tmp_path):
     q = live.windowed_mean(s, ["k"], "ts", "v", "1 minute", "1 minute", "1 minute").writeStream.format("memory").queryName("live_means").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.v, r.n) for r in spark.table("live_means").collect()] == [(2.0, 2)]
+
+
+def test_decoding_queries_cover_all_channels(spark):
+    from sigloom.plans import reference_queries as rq
+    from tests.conftest import SF
+
+    channels = {x.ch_idx for x in rq._pseudo(spark, SF).select("ch_idx").distinct().collect()}
+    models = rq.compare_classifiers(spark, SF).collect()
+    assert {(x.ch_idx, x.model) for x in models} == {(c, m) for c in channels for m in ("logistic", "linear_svm", "rbf_svm", "forest", "knn_dtw")}
+    runs = rq.permutation_final(spark, SF).collect()
+    assert len(runs) == len(channels) * 101 and {(x.ch_idx, x.perm) for x in runs} == {(c, p) for c in channels for p in range(101)}
