@@ -1175,3 +1175,38 @@ def cluster_profile(spark, d):
     x = cl.select_clusters(_group_weights(spark, d), ["band"], "gch", ["c1", "c2", "c3"], "kmeans")
     areas = table(spark, d, "embeddings").select(F.col("vec_id").alias("gch"), F.col("label").alias("area"))
     return x.join(broadcast_if_small(areas), "gch").groupBy("band", "cluster", "area").agg(F.count("*").alias("n"))
+
+
+# ---- the whole job of queries whose SQL is fixed on a part ----
+
+
+@query()
+def silhouette_whole(spark, d):
+    """CL8 on the whole vectors."""
+    x = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    return r(cl.silhouette(x, "vec_id", "v", "label"), "silhouette")
+
+
+@query()
+def unpivot_weights_whole(spark, d):
+    """FLT19 on every channel."""
+    x = table(spark, d, "grp_concat_compo_pca3")
+    channels = sorted(c for c in x.columns if c.startswith("ch_"))
+    return x.select("row_id", *channels).unpivot("row_id", channels, "channel", "weight").where("weight is not null")
+
+
+@query()
+def derive_columns_whole(spark, d):
+    """FLT10, FLT11 on every row with a position."""
+    x = table(spark, d, "coords").where("x is not null and y is not null and z is not null")
+    return r(x.select("coord_id", F.col("channel").alias("contact"), *[(F.col(c) * 1000).alias(f"{c}_um") for c in "xyz"]).distinct(), "x_um", "y_um", "z_um", to=4)
+
+
+@query()
+def printed_points_whole(spark, d):
+    """SRC10 on every row with a position, small and large ones printed with an exponent."""
+    from sigloom.sources.readers import decimals
+
+    c = table(spark, d, "coords").where("x is not null and y is not null and z is not null")
+    p = F.concat(F.lit("<point | contact : ("), F.col("x").cast("string"), F.lit(", "), F.col("y").cast("string"), F.lit(", "), F.col("z").cast("string"), F.lit(") mm>"))
+    return c.select("coord_id", *decimals(p)).distinct()

@@ -57,8 +57,8 @@ def subjects(spark: SparkSession, path: str, pattern: str = r"(sub-[^/_]+)") ->
 
 
 def decimals(text: Column, names: tuple[str, ...] = ("x", "y", "z")) -> list[Column]:
-    """Signed decimals of a printed point, in order (SRC10)."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"([-+]?\d+\.\d+)")), lambda s: s.cast("double"))
+    """Signed decimals of a printed point, in order, with or without an exponent (SRC10)."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"([-+]?\d+\.\d+(?:[eE][-+]?\d+)?)")), lambda s: s.cast("double"))
     return [F.get(found, i).alias(n) for i, n in enumerate(names)]
 
 
