@@ -183,8 +183,18 @@ def tiles(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def longest_stretch(t: list[tuple[int, int, int]], word_no: list[int], altered: float) -> tuple[int, int]:
-    """(words, altered words) of the longest stretch of the item that tiles in line cover, at most `altered` of it altered."""
+def longest_stretch(t: list[tuple[int, int, int]], word_no: list[int], altered: float, a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """(words, altered words) of the longest stretch of the item that tiles in line cover, at most `altered` of it altered.
+
+    A gap costs the item's words in it. In one that is as long on both sides, units of a and b that are equal (too short
+    for a tile) cost nothing.
+    """
+
+    def cost_of(i: int, di: int, j: int, dj: int) -> int:
+        if di == dj:
+            return len({word_no[i + q] for q in range(di) if a[i + q] != b[j + q]})
+        return max(len({word_no[i + q] for q in range(di)}), dj)
+
     best, why = 0, 0
     words = lambda a, b: word_no[b - 1] - word_no[a] + 1
     for s in range(len(t)):
@@ -205,7 +215,7 @@ def longest_stretch(t: list[tuple[int, int, int]], word_no: list[int], altered:
                         nxt, cost = q, c
             if nxt is None:
                 break
-            gap += cost
+            gap += cost_of(i_end, t[nxt][0] - i_end, j_end, t[nxt][1] - j_end)
             cur, i_end, j_end = nxt, t[nxt][0] + t[nxt][2], t[nxt][1] + t[nxt][2]
             n = words(i0, i_end)
             if gap <= max(1, int(np.ceil(altered * n))) and n > best:
@@ -273,7 +283,7 @@ def _scan(x: DataFrame, rows: list, min_words: int, min_chars: int, altered: flo
                         if len(a) < least or not may_cover(a, b, diagonals, least, altered):
                             continue
                         t_ = tiles(a, b, char_tile if cjk else word_tile)
-                        n, gap = longest_stretch(t_, index.word_no[i], altered)
+                        n, gap = longest_stretch(t_, index.word_no[i], altered, np.asarray(a), b)
                         if n >= least:
                             out.append((doc, i, n, gap, sum(r[2] for r in t_) / len(a)))
             yield pd.DataFrame(out, columns=["doc", "item", "stretch", "altered", "coverage"])

@@ -73,3 +73,18 @@ def test_tiles_equal_brute_force():
         t = L.tiles(a, b, 3)
         assert all((a[i : i + n] == b[j : j + n]).all() for i, j, n in t)
         assert abs(sum(n for _, _, n in t) - brute) <= 4
+
+
+def test_single_words_between_altered_ones(spark):
+    item = [f"{w}{i}" for i, w in enumerate(WORDS[:20])]
+    two, three = list(item), list(item)
+    for i in (9, 11):
+        two[i] = "changed"
+    for i in (7, 9, 11):
+        three[i] = "changed"
+    deaf = [*item[:9], "tone-deaf", *item[10:]]
+    docs = [(1, " ".join(two)), (2, " ".join(three))]
+    assert {d for d, _ in _find(spark, docs, [(1, " ".join(item))])} == {1}
+    other = [w if w != "tone-deaf" else "red-blue" for w in deaf]
+    other[14] = "changed"  # two altered words, one of them of two units
+    assert {d for d, _ in _find(spark, [(4, " ".join(other))], [(1, " ".join(deaf))])} == {4}
