@@ -1,7 +1,10 @@
 """Interval coverage: merge overlapping, nested and touching intervals per entity and list the gaps between periods.
 
-Two levels, so that no entity has to fit one task: intervals are clipped into fixed time shards and merged within each
-(entity, shard) group, then the far fewer shard pieces are stitched where coverage touches a shard boundary.
+Two levels, so that no entity has to fit one task: every interval is clipped at the end of the time shard it starts in
+and merged with the others of its (entity, shard); what reaches over a shard's end is one number a shard. Those numbers
+are carried on from shard to shard, again in two levels (within blocks of shards, then over the blocks), and each shard
+is stitched to the coverage that reaches into it. An interval of any length is one row throughout, and nothing is
+sorted by entity but one row a block of shards.
 """
 
 from __future__ import annotations
@@ -9,88 +12,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Shards of one block of the carry.
+BLOCK = 1024
+
 
 def round_half_away(value: Column) -> Column:
     """Whole number nearest to value, halves away from zero."""
     return F.round(value).cast("bigint")
 
 
-def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Merges [s, e] rows per key group where the next start is at or before the running end."""
-    w = Window.partitionBy(*keys).orderBy("s", "e")
-    prev = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        df.withColumn("_new", F.when(prev.isNull() | (F.col("s") > prev), 1).otherwise(0))
-        .withColumn("_isl", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*keys, "_isl")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n"))
-        .drop("_isl")
-    )
+def _before(w: Window) -> Window:
+    return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def merge_intervals(df: DataFrame, entity: str, start: Column, end: Column, shard: int = 600_000) -> DataFrame:
-    """Periods (entity, s, e, n) of the union of all [start, end] intervals; n counts the input intervals' pieces.
+def coverage(df: DataFrame, entity: str, start: Column, end: Column, shard: int = 600_000, block: int = BLOCK) -> DataFrame:
+    """(ent, s, e, prev): the periods of the union of all [start, end] intervals, each with the end of the one before.
 
-    start and end are whole numbers of one unit. Rows with a null entity, start or end, or with end <= start, are
-    ignored; repeated rows and ties change nothing; an empty input gives an empty result; other columns of df are
-    dropped before anything is named, so their names cannot clash. An interval longer than a shard is cut into a middle
-    run (kept whole, beside the shards) and its two ends, so that long intervals don't multiply rows.
-    """
-    x = df.select(F.col(entity).alias("ent"), start.alias("s"), end.alias("e")).where(
-        F.col("ent").isNotNull() & (F.col("e") > F.col("s"))
-    )
-    lo, hi = F.floor(F.col("s") / shard), F.floor(F.col("e") / shard)
-    x = x.select("ent", "s", "e", lo.cast("bigint").alias("b0"), hi.cast("bigint").alias("b1"))
-    cut = F.when(
-        F.col("b0") == F.col("b1"),
-        F.array(F.struct(F.col("b0").alias("b"), F.col("s").alias("s"), F.col("e").alias("e"), F.lit(1).alias("n"))),
-    ).otherwise(
-        F.filter(
-            F.array(
-                F.struct(F.col("b0").alias("b"), F.col("s").alias("s"), ((F.col("b0") + 1) * shard).alias("e"), F.lit(1).alias("n")),
-                F.struct(F.col("b1").alias("b"), (F.col("b1") * shard).alias("s"), F.col("e").alias("e"), F.lit(0).alias("n")),
-                F.when(
-                    F.col("b1") - F.col("b0") > 1,
-                    # the whole shards between the ends: one piece under its own group, keyed by its first shard
-                    F.struct(F.col("b0").alias("b"), ((F.col("b0") + 1) * shard).alias("s"), (F.col("b1") * shard).alias("e"), F.lit(0).alias("n")),
-                ),
-            ),
-            lambda p: p.isNotNull() & (p["e"] >= p["s"]),
-        )
-    )
-    pieces = x.select("ent", F.explode(cut).alias("p")).select("ent", "p.b", "p.s", "p.e", "p.n")
-    # before the sort, one row for each start: a group then holds at most `shard` rows, however hot its entity is
-    pieces = pieces.groupBy("ent", "b", "s").agg(F.max("e").alias("e"), F.sum("n").cast("bigint").alias("n"))
-    local = _islands(pieces, ["ent", "b"])
-    # only coverage that reaches a shard boundary can join another shard's; the rest are finished periods
-    touching = (F.col("s") % shard == 0) | (F.floor(F.col("s") / shard) != F.floor(F.col("e") / shard)) | (F.col("e") % shard == 0)
-    # pieces beside a middle run overlap it, so every piece of a shard that a run covers must be stitched too
-    runs = local.where(F.floor(F.col("e") / shard) - F.floor(F.col("s") / shard) > 1)
-    covered = runs.select(
-        "ent", F.explode(F.sequence(F.floor(F.col("s") / shard), F.floor(F.col("e") / shard))).alias("b")
-    ).distinct()
-    inner = local.where(~touching).join(covered, ["ent", "b"], "left_anti")
-    swallowed = local.where(~touching).join(covered, ["ent", "b"], "left_semi")
-    edge = local.where(touching).unionByName(swallowed)
-    return inner.select("ent", "s", "e", "n").unionByName(_islands(edge.drop("b"), ["ent"]).select("ent", "s", "e", "n"))
-
-
-def with_previous_end(periods: DataFrame, shard: int = 600_000) -> DataFrame:
-    """Adds prev, the end of the entity's period before (null for its first), again by time shard.
-
-    Within a shard it is the row before; for a shard's first period it is the last end of the entity's shards before.
+    start and end are whole numbers of one unit; prev is null for an entity's first period. Rows with a null entity,
+    start or end, or with end <= start, are ignored; repeated rows and ties change nothing; an empty input gives an
+    empty result; other columns of df are dropped before anything is named, so their names cannot clash.
     """
-    x = periods.withColumn("b", F.floor(F.col("s") / shard))
-    by_shard = x.groupBy("ent", "b").agg(F.max("e").alias("_last")).select(
-        "ent", "b", F.lag("_last").over(Window.partitionBy("ent").orderBy("b")).alias("_before")
-    )
-    x = x.withColumn("_prev", F.lag("e").over(Window.partitionBy("ent", "b").orderBy("s")))
-    return x.join(by_shard, ["ent", "b"]).select("ent", "s", "e", "n", F.coalesce("_prev", "_before").alias("prev"))
+    x = df.select(F.col(entity).alias("ent"), start.alias("s"), end.alias("e")).where(F.col("ent").isNotNull() & (F.col("e") > F.col("s")))
+    # before any sort, one row for each start: an (entity, shard) then holds at most `shard` rows, however hot it is
+    x = x.groupBy("ent", F.floor(F.col("s") / shard).cast("bigint").alias("b"), "s").agg(F.max("e").alias("e"))
+
+    # within the shard: the starts of its islands, with the furthest end before them; ends may reach over the shard's end
+    w = Window.partitionBy("ent", "b").orderBy("s")
+    local = x.withColumn("own", F.max("e").over(_before(w)))
+    # what reaches into a shard: the furthest end of its block's shards before, and of all blocks before
+    reach = x.groupBy("ent", "b").agg(F.max("e").alias("reach")).withColumn("k", F.floor(F.col("b") / block))
+    blocks = reach.groupBy("ent", "k").agg(F.max("reach").alias("far"))
+    blocks = blocks.select("ent", "k", F.max("far").over(_before(Window.partitionBy("ent").orderBy("k"))).alias("before"), F.max("far").over(Window.partitionBy("ent")).alias("last"))
+    carry = reach.withColumn("near", F.max("reach").over(_before(Window.partitionBy("ent", "k").orderBy("b")))).join(blocks, ["ent", "k"])
+    carry = carry.select("ent", "b", "k", F.greatest("near", "before").alias("carry"), "last")
+
+    # stitched: a start is a period's only if nothing before it, in its shard or from others, reaches it
+    at = local.join(carry, ["ent", "b"]).withColumn("prev", F.greatest("own", "carry"))
+    starts = at.where(F.col("prev").isNull() | (F.col("s") > F.col("prev"))).select("ent", "b", "k", "s", "prev", "last", F.lead("prev").over(w).alias("next"))
+    # a period ends where the one after it says: in its shard, in its block, in a later block, or it is the last
+    first = starts.groupBy("ent", "k", "b").agg(F.min_by("prev", "s").alias("p"))
+    later = first.groupBy("ent", "k").agg(F.min_by("p", "b").alias("p"))
+    later = later.select("ent", "k", F.lead("p").over(Window.partitionBy("ent").orderBy("k")).alias("later"))
+    soon = first.select("ent", "k", "b", F.lead("p").over(Window.partitionBy("ent", "k").orderBy("b")).alias("soon"))
+    after = soon.join(later, ["ent", "k"]).select("ent", "b", F.coalesce("soon", "later").alias("after"))
+    return starts.join(after, ["ent", "b"]).select("ent", "s", F.coalesce("next", "after", "last").alias("e"), "prev")
+
+
+def merge_intervals(df: DataFrame, entity: str, start: Column, end: Column, shard: int = 600_000) -> DataFrame:
+    """Periods (ent, s, e) of the union of all [start, end] intervals, as coverage() defines them."""
+    return coverage(df, entity, start, end, shard).select("ent", "s", "e")
 
 
-def coverage_gaps(periods: DataFrame, shard: int = 600_000) -> DataFrame:
-    """Gaps (ent, s, e) between consecutive periods of merge_intervals()."""
-    return with_previous_end(periods, shard).where(F.col("prev").isNotNull()).select("ent", F.col("prev").alias("s"), F.col("s").alias("e"))
+def coverage_gaps(df: DataFrame, entity: str, start: Column, end: Column, shard: int = 600_000) -> DataFrame:
+    """Gaps (ent, s, e) between consecutive periods of coverage()."""
+    return coverage(df, entity, start, end, shard).where("prev is not null").select("ent", F.col("prev").alias("s"), F.col("s").alias("e"))
 
 
 def periods_and_gaps(df: DataFrame, entity: str, onset: str, duration: str, shard: int = 600_000) -> DataFrame:
@@ -101,18 +76,7 @@ def periods_and_gaps(df: DataFrame, entity: str, onset: str, duration: str, shar
     """
     ok = (F.col(duration) > 0) & ~F.isnan(duration) & ~F.isnan(onset)
     x = df.where(ok).select(F.col(entity).alias("k"), round_half_away(F.col(onset) * 1000).alias("a"), round_half_away(F.col(duration) * 1000).alias("d"))
-    p = merge_intervals(x, "k", F.col("a"), F.col("a") + F.col("d"), shard)
-    # each period gives itself and the gap before it
-    both = with_previous_end(p, shard).select(
-        "ent",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(F.lit("period").alias("kind"), F.col("s").alias("start_ms"), F.col("e").alias("end_ms")),
-                    F.when(F.col("prev").isNotNull(), F.struct(F.lit("gap").alias("kind"), F.col("prev").alias("start_ms"), F.col("s").alias("end_ms"))),
-                ),
-                lambda q: q.isNotNull(),
-            )
-        ).alias("q"),
-    )
+    period = F.struct(F.lit("period").alias("kind"), F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+    gap = F.struct(F.lit("gap").alias("kind"), F.col("prev").alias("start_ms"), F.col("s").alias("end_ms"))
+    both = coverage(x, "k", F.col("a"), F.col("a") + F.col("d"), shard).select("ent", F.explode(F.when(F.col("prev").isNull(), F.array(period)).otherwise(F.array(gap, period))).alias("q"))
     return both.select(F.col("ent").cast("bigint").alias("rec_id"), "q.kind", "q.start_ms", "q.end_ms")

@@ -1,6 +1,6 @@
 import random
 
-from sigloom.operators.intervals import coverage_gaps, merge_intervals, periods_and_gaps
+from sigloom.operators.intervals import coverage, coverage_gaps, merge_intervals, periods_and_gaps
 from pyspark.sql import functions as F
 
 
@@ -38,8 +38,23 @@ def test_merge_matches_brute_force_at_any_shard(spark):
 
 def test_gaps_cross_shards(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 8, 9), (1, 95, 99), (2, 50, 51)], "k int, s bigint, e bigint")
-    p = merge_intervals(df, "k", F.col("s"), F.col("e"), 10)
-    assert {(r.ent, r.s, r.e) for r in coverage_gaps(p, 10).collect()} == {(1, 5, 8), (1, 9, 95)}
+    assert {(r.ent, r.s, r.e) for r in coverage_gaps(df, "k", F.col("s"), F.col("e"), 10).collect()} == {(1, 5, 8), (1, 9, 95)}
+
+
+def test_carry_over_many_blocks(spark):
+    """An interval over all shards swallows what lies in them; ends and gaps are found over empty shards and blocks."""
+    rng = random.Random(5)
+    rows = [(1, -10_000, 10_000)] + [(1, s, s + 3) for s in range(-9_000, 9_000, 70)] + [(1, 12_345, 12_350), (1, 90_000, 90_007), (1, 90_007, 90_008)]
+    rows += [(2, s, s + rng.choice([1, 30, 400])) for s in (rng.randrange(0, 100_000) for _ in range(400))]
+    df = spark.createDataFrame(rows, "k int, s bigint, e bigint")
+    want = brute(rows)
+    for block in (1, 3, 1024):
+        got = coverage(df, "k", F.col("s"), F.col("e"), 10, block).collect()
+        assert {(r.ent, r.s, r.e) for r in got} == want and len(got) == len(want)
+        prev = {}
+        for k, s, e in sorted(want):
+            prev[k, s] = max((b for j, _, b in want if j == k and b < s), default=None)
+        assert {(r.ent, r.s): r.prev for r in got} == prev
 
 
 def test_seconds_nulls_clashes_and_empty(spark):
