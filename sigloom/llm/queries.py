@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm import clusters, leakage, matching, packing, sampling, sentences
-from sigloom.session import table
+from sigloom.session import materialise, table
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -25,26 +25,26 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.density_clusters(_vectors(spark, d))[1]
 
 
-def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     ref = table(spark, d, "condition_ref")
     trials = sampling.readable_trials(table(spark, d, "info"), ref)
-    return trials, sampling.plan_report(trials, sampling.plan_needs(table(spark, d, "sample_plan"), ref))
+    plan = sampling.plan_needs(table(spark, d, "sample_plan"), ref)
+    return trials, plan, sampling.draw(trials, plan)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Plan rows whose need exceeds the trials there are."""
-    return _plan(spark, d)[1].where("deficit > 0").select("cohort", "event_id").distinct()
+    """Plan rows that the drawn sample can't fill."""
+    return sampling.plan_report(*_plan(spark, d)).where("deficit > 0").select("cohort", "event_id").distinct()
 
 
 def p4_deficits(spark: SparkSession, d: str) -> DataFrame:
-    """Every plan row with its need, the trials available, those taken and the deficit."""
-    return _plan(spark, d)[1].select("cohort", "event_id", "need", "n_available", "taken", "deficit")
+    """Every plan row with its need, the trials available, those drawn and the deficit."""
+    return sampling.plan_report(*_plan(spark, d)).select("cohort", "event_id", "need", "n_available", "taken", "deficit")
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     """The drawn trials."""
-    trials, report = _plan(spark, d)
-    return sampling.draw(trials, report).select("cohort", "event_id", "rec_id", "trial")
+    return _plan(spark, d)[2].select("cohort", "event_id", "rec_id", "trial")
 
 
 def p4_sample_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -82,8 +82,8 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that alone exceed a container, which packing splits."""
-    return _pieces(spark, d).where("piece_no = 1").select("doc_id").distinct()
+    """Documents that packing had to split: those of which it placed a second piece."""
+    return p6_containers(spark, d).where("piece_no = 1").select("doc_id").distinct()
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -92,9 +92,17 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, their mean fill, and the share of unused room."""
-    by = p6_containers(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
-    return by.agg(F.count("*").alias("containers"), F.sum("n").alias("pieces"), F.max("tokens").alias("fullest"), F.round(F.avg(F.col("tokens") / 1024), 4).alias("mean_fill"))
+    """Containers and their fill, with the limits of documents and attention cost, without either, and without both."""
+    pieces = materialise(_pieces(spark, d))
+    out = None
+    for limits, docs, share in (("both", packing.MAX_DOCS, packing.COST_SHARE), ("documents", packing.MAX_DOCS, 1.0), ("cost", 1024, packing.COST_SHARE), ("none", 1024, 1.0)):
+        by = packing.pack(pieces, "doc_id", 1024, docs, share).groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
+        row = by.agg(
+            F.count("*").alias("containers"), F.sum("n").alias("pieces"), F.max("tokens").alias("fullest"), F.round(F.avg(F.col("tokens") / 1024), 4).alias("mean_fill"),
+            F.count(F.when(F.col("n") >= packing.MAX_DOCS, 1)).alias("containers_of_16_or_more"),
+        ).select(F.lit(limits).alias("limits"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -141,5 +149,17 @@ x AS (SELECT p.cohort, p.event_id, CAST(p.need AS BIGINT) AS need, CAST(coalesce
 SQL = {
     "p4_found": _P4 + "SELECT cohort, event_id FROM x WHERE need > n_available",
     "p4_deficits": _P4 + "SELECT cohort, event_id, need, n_available, least(need, n_available) AS taken, need - least(need, n_available) AS deficit FROM x",
+    # the trials of a plan row with the smallest positions, as the operator draws them
+    "p4_sample": r"""
+WITH ref AS (SELECT CAST(code AS BIGINT) AS c, condition_name AS n FROM condition_ref),
+d AS (SELECT rec_id, max_by(cohort, loaded_at) AS cohort, max_by(event_id, loaded_at) AS ev FROM info WHERE rec_id IS NOT NULL GROUP BY rec_id),
+t AS (SELECT rec_id, cohort, unnest(ev) AS e, generate_subscripts(ev, 1) - 1 AS trial FROM d),
+k AS (SELECT *, lower(trim(e)) AS l, regexp_replace(regexp_replace(lower(trim(e)), '\s*[/_-]\s*|\s+', '/', 'g'), '/+', '/', 'g') AS nm FROM t),
+r AS (SELECT rec_id, cohort, trial, CASE WHEN regexp_full_match(l, '0*[0-9]{1,15}(\.0*)?') THEN CAST(split_part(l, '.', 1) AS BIGINT) ELSE (SELECT min(c) FROM ref WHERE n = nm) END AS c FROM k),
+p AS (SELECT cohort, event_id, greatest(coalesce(min_keep, 0), CAST(round(target_share * sample_size) AS BIGINT)) AS need FROM sample_plan),
+u AS (SELECT *, CAST(('0x' || substr(md5('0-' || rec_id || '-' || trial), 1, 13)) AS BIGINT) AS u FROM r WHERE c IS NOT NULL),
+x AS (SELECT p.cohort, p.event_id, p.need, u.rec_id, u.trial, row_number() OVER (PARTITION BY p.cohort, p.event_id ORDER BY u, rec_id, trial) AS pos
+  FROM p JOIN u ON p.cohort = u.cohort AND CAST(p.event_id AS BIGINT) = u.c)
+SELECT cohort, event_id, rec_id, CAST(trial AS INTEGER) AS trial FROM x WHERE pos <= need""",
     "p4_sample_counts": _P4 + "SELECT cohort, event_id, least(need, n_available) AS n_drawn FROM x WHERE least(need, n_available) > 0",
 }

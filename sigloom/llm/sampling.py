@@ -2,7 +2,8 @@
 
 Acceptance probabilities come from target-to-available ratios; rows are accepted independently by a seeded hash with
 slight oversampling; then counts are corrected exactly by cutting each category at the right hash value. The cut is
-found from per-bucket counts, so no category, however large, is ever ranked in one task.
+found from per-bucket counts, so no category, however large, is ever ranked in one task. Deficits are what the drawn
+sample lacks.
 """
 
 from __future__ import annotations
@@ -65,42 +66,61 @@ def available(trials: DataFrame) -> DataFrame:
     return trials.groupBy("cohort", "code_read").agg(F.count("*").alias("n_available"))
 
 
-def plan_report(trials: DataFrame, plan: DataFrame) -> DataFrame:
-    """The plan rows with need, n_available, taken and deficit. A null cohort matches only a null cohort."""
+def goals(trials: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan rows with need, n_available and p, the probability at which each of their trials is accepted.
+
+    p is the target-to-available ratio with oversampling by four standard deviations, at most 1. A null cohort matches
+    only a null cohort; a plan row whose code can't be read has no trials.
+    """
     a = available(trials)
     return (
         plan.join(a, plan["cohort"].eqNullSafe(a["cohort"]) & (plan["code_read"] == a["code_read"]), "left")
         .select(plan["*"], F.coalesce("n_available", F.lit(0)).cast("bigint").alias("n_available"))
-        .withColumn("taken", F.least("need", "n_available"))
-        .withColumn("deficit", F.col("need") - F.col("taken"))
+        .withColumn("p", F.least(F.lit(1.0), (F.col("need") + 4 * F.sqrt(F.col("need")) + 8) / F.col("n_available")))
     )
 
 
-def draw(trials: DataFrame, report: DataFrame, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
-    """The sample: exactly `taken` trials of every plan row, as (cohort, event_id, code_read, rec_id, trial).
+def position(seed: int) -> Column:
+    """A number in [0, 1) for each (rec_id, trial), the same in any engine: the first 52 bits of an md5."""
+    text = F.concat_ws("-", F.lit(str(seed)), F.col("rec_id").cast("string"), F.col("trial").cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
-    trials and report come from readable_trials() and plan_report(). Trials without a plan row are not drawn; an empty
-    input gives an empty sample; the draw depends only on seed, rec_id and trial, not on partitioning.
+
+def draw(trials: DataFrame, plan: DataFrame, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+    """The sample, as (cohort, event_id, code_read, rec_id, trial): `need` trials of every plan row, or all if there are fewer.
+
+    trials and plan come from readable_trials() and plan_needs(). Trials without a plan row are not drawn; an empty
+    input gives an empty sample; the draw depends only on seed, rec_id and trial, not on partitioning. Of a plan row's
+    trials those with the smallest positions are drawn.
     """
-    # acceptance with oversampling by four standard deviations; a category that still comes out short is taken whole
-    p = F.least(F.lit(1.0), (F.col("taken") + 4 * F.sqrt(F.col("taken")) + 8) / F.col("n_available"))
-    goal = report.where("taken > 0").select(F.col("cohort").alias("_co"), "event_id", F.col("code_read").alias("_cr"), "taken", p.alias("p"))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "rec_id", "trial"), 11) / float(1 << 53)
-    x = trials.join(broadcast_if_small(goal), F.col("cohort").eqNullSafe(F.col("_co")) & (F.col("code_read") == F.col("_cr"))).withColumn("u", u)
-    x = x.withColumn("accepted", F.col("u") < F.col("p")).withColumn(
-        "b", F.when(F.col("accepted"), F.floor(F.col("u") / F.col("p") * buckets)).otherwise(buckets + F.floor((F.col("u") - F.col("p")) * buckets)).cast("int")
-    )
-    counts = x.groupBy("_co", "_cr", "event_id", "taken", "b").agg(F.count("*").alias("c"))
+    goal = goals(trials, plan).where("need > 0 and n_available > 0").select(F.col("cohort").alias("_co"), "event_id", F.col("code_read").alias("_cr"), "need", "p")
+    x = trials.join(broadcast_if_small(goal), F.col("cohort").eqNullSafe(F.col("_co")) & (F.col("code_read") == F.col("_cr"))).withColumn("u", position(seed))
+    # accepted trials are in the first buckets; the others stay behind them, for a plan row that comes out short
+    x = x.withColumn("b", F.when(F.col("u") < F.col("p"), F.floor(F.col("u") / F.col("p") * buckets)).otherwise(buckets + F.floor((F.col("u") - F.col("p")) * buckets)).cast("int"))
+    counts = x.groupBy("_co", "_cr", "event_id", "need", "b").agg(F.count("*").alias("c"))
     run = F.sum("c").over(Window.partitionBy("_co", "_cr", "event_id").orderBy("b"))
+    # the exact correction: up to which bucket all are kept, and how many of the bucket at the cut (null: keep all)
     cut = (
         counts.withColumn("upto", run)
-        .where(F.col("upto") >= F.col("taken"))
+        .where(F.col("upto") >= F.col("need"))
         .groupBy("_co", "_cr", "event_id")
-        .agg(F.min("b").alias("cut"), F.min_by(F.col("taken") - F.col("upto") + F.col("c"), "b").alias("from_cut"))
+        .agg(F.min("b").alias("cut"), F.min_by(F.col("need") - F.col("upto") + F.col("c"), "b").alias("from_cut"))
         .select(F.col("_co").alias("_co2"), F.col("_cr").alias("_cr2"), F.col("event_id").alias("_ev2"), "cut", "from_cut")
     )
-    y = x.join(broadcast_if_small(cut), F.col("_co").eqNullSafe(F.col("_co2")) & (F.col("_cr") == F.col("_cr2")) & F.col("event_id").eqNullSafe(F.col("_ev2")))
-    below = y.where(F.col("b") < F.col("cut"))
+    y = x.join(broadcast_if_small(cut), F.col("_co").eqNullSafe(F.col("_co2")) & (F.col("_cr") == F.col("_cr2")) & F.col("event_id").eqNullSafe(F.col("_ev2")), "left")
+    below = y.where(F.col("cut").isNull() | (F.col("b") < F.col("cut")))
     at = y.where(F.col("b") == F.col("cut")).withColumn("r", F.row_number().over(Window.partitionBy("_co", "_cr", "event_id").orderBy("u", "rec_id", "trial")))
     out = ["cohort", "event_id", "code_read", "rec_id", "trial"]
     return below.select(*out).unionByName(at.where(F.col("r") <= F.col("from_cut")).select(*out))
+
+
+def plan_report(trials: DataFrame, plan: DataFrame, sample: DataFrame) -> DataFrame:
+    """The plan rows with need, n_available, taken (the drawn trials, counted in the sample of draw()) and deficit."""
+    n = sample.groupBy(F.col("cohort").alias("_co"), F.col("event_id").alias("_ev")).agg(F.count("*").alias("taken"))
+    x = goals(trials, plan)
+    return (
+        x.join(n, F.col("cohort").eqNullSafe(F.col("_co")) & F.col("event_id").eqNullSafe(F.col("_ev")), "left")
+        .drop("_co", "_ev", "p")
+        .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("bigint"))
+        .withColumn("deficit", F.col("need") - F.col("taken"))
+    )
