@@ -23,6 +23,9 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Splitting pattern of byte-level BPE vocabularies of this family. Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Documents of a container, and its attention cost as a share of capacity squared, by default.
+MAX_DOCS = 16
+COST_SHARE = 0.5
 #: Pieces a packing task holds.
 TASK_PIECES = 8192
 
@@ -60,20 +63,30 @@ def pieces(counts: DataFrame, doc_id: str, capacity: int) -> DataFrame:
     return x.select(doc_id, F.col("piece_no").cast("int").alias("piece_no"), start.alias("start_token"), F.least(F.lit(capacity).cast("bigint"), F.col("_n") - start).alias("n_tokens"))
 
 
+def cost_limit(longest: float, capacity: int, max_cost: float) -> float:
+    """Attention cost that a container may have, given its longest piece.
+
+    A piece whose own cost is over max_cost still needs a container. Beside it, and beside any piece that leaves less
+    than half of max_cost, the rest may cost half of what one piece of that length would: it must be two pieces or more.
+    """
+    return max(max_cost, longest * longest + (capacity - longest) ** 2 / 2)
+
+
 def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: float) -> np.ndarray:
     """Container number of each piece: vector best fit, longest first (ties in the given order).
 
-    Capacities are tokens, documents and attention cost (the sum of squared lengths). Of the open containers that hold a
-    piece under every constraint, it takes that with the smallest norm of the residual after it, weighted by capacity.
+    Capacities are tokens, documents and attention cost (the sum of squared lengths, see cost_limit). Of the open
+    containers that hold a piece under every constraint, it takes that with the smallest norm of the residual after it,
+    each residual as a share of its capacity.
     """
     n = len(lengths)
     out = np.empty(n, dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
-    w = np.array([1.0 / capacity, 0.05 / max_docs, 0.05 / max_cost])
+    w = 1 / np.array([capacity, max_docs, max_cost])
     res = np.empty((256, 3))
     ids = np.empty(256, dtype=np.int64)
     used = opened = 0
-    smallest = int(lengths.min()) if n else 0
+    smallest = float(lengths.min()) if n else 0.0
     for k in order:
         x = float(lengths[k])
         need = np.array([x, 1.0, x * x])
@@ -86,11 +99,11 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_cost: float)
         else:
             if used == len(res):
                 res, ids = np.vstack([res, np.empty_like(res)]), np.concatenate([ids, np.empty_like(ids)])
-            res[used] = np.array([capacity, max_docs, max_cost]) - need
+            res[used] = np.array([capacity, max_docs, cost_limit(x, capacity, max_cost)]) - need
             ids[used] = opened
             j, opened, used = used, opened + 1, used + 1
         out[k] = ids[j]
-        if res[j, 0] < smallest or res[j, 1] < 1:  # closed: nothing fits any more
+        if res[j, 0] < smallest or res[j, 1] < 1 or res[j, 2] < smallest * smallest:  # closed: nothing fits any more
             used -= 1
             res[j], ids[j] = res[used], ids[used]
     return out
@@ -100,19 +113,20 @@ def pack(
     items: DataFrame,
     doc_id: str,
     capacity: int = 1024,
-    max_docs: int = 256,
-    max_cost: float | None = None,
+    max_docs: int = MAX_DOCS,
+    cost_share: float = COST_SHARE,
     task_pieces: int = TASK_PIECES,
     refill_below: float = 0.97,
 ) -> DataFrame:
     """(container_id, doc_id, piece_no, start_token, n_tokens) of every piece, from the pieces() of a corpus.
 
-    max_cost bounds the sum of squared piece lengths in a container (default: capacity squared, which one full piece
-    has). An empty input gives an empty result. Equal lengths are placed in the order of (doc_id, piece_no).
+    A container holds at most `capacity` tokens and `max_docs` pieces, and its attention cost (the sum of squared piece
+    lengths) at most cost_limit() of cost_share x capacity squared. An empty input gives an empty result. Equal lengths
+    are placed in the order of (doc_id, piece_no).
     """
-    cost = float(max_cost or capacity * capacity)
-    if cost < capacity * capacity:
-        raise ValueError("a full piece must fit max_cost")
+    if max_docs < 1 or capacity < 1 or cost_share <= 0:
+        raise ValueError("capacity, max_docs and cost_share must be positive")
+    cost = cost_share * capacity * capacity
     items = materialise(items.select(F.col(doc_id).alias("doc"), "piece_no", "start_token", "n_tokens"))
 
     def place(df: DataFrame, salt: int) -> DataFrame:
