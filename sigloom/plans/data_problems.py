@@ -60,16 +60,19 @@ r AS (
 
 # the range a true position lies in leaves one unit, but for centimetres and inches, which a statement parts
 _UNITS = r"""
-WITH k AS (SELECT DISTINCT coord_id, unit, remark, sqrt(x * x + y * y + z * z) AS n FROM coords WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND (x <> 0 OR y <> 0 OR z <> 0)),
+WITH k AS (SELECT DISTINCT coord_id, subj, loaded_at, x, y, z, unit, remark, sqrt(x * x + y * y + z * z) AS n FROM coords WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND (x <> 0 OR y <> 0 OR z <> 0)),
 s AS (SELECT *, coalesce(regexp_full_match(lower(unit), '[\s\[(]*(in|inch|inches|zoll|pouces?|pulgadas?|pollici|")[\s\]).]*'), false)
   OR coalesce(len(list_filter(string_split_regex(remark, '[;|]'), lambda p: regexp_matches(lower(p), '\b(inch|inches|zoll|pouces?|pulgadas?|pollici)\b|(unit|einheit|unité)\s*[:=]?\s*in\b|["″]')
     AND NOT regexp_matches(lower(p), '[0-9](\s*/\s*[0-9]+)?\s*([a-zµμ]+\b|["″])'))) > 0, false) AS inch FROM k),
-u AS (SELECT coord_id, CASE WHEN inch AND n BETWEEN 20 / 25.4 * 0.999 AND 100 / 25.4 * 1.001 THEN 'in' WHEN n BETWEEN 0.02 * 0.999 AND 0.1 * 1.001 THEN 'm' WHEN n BETWEEN 2 * 0.999 AND 10 * 1.001 THEN 'cm'
-  WHEN n BETWEEN 20000 * 0.999 AND 100000 * 1.001 THEN 'um' ELSE 'mm' END AS unit FROM s)
+u AS (SELECT coord_id, subj, x, y, z, CASE WHEN inch AND n BETWEEN 20 / 25.4 * 0.999 AND 100 / 25.4 * 1.001 THEN 'in' WHEN n BETWEEN 0.02 * 0.999 AND 0.1 * 1.001 THEN 'm' WHEN n BETWEEN 2 * 0.999 AND 10 * 1.001 THEN 'cm'
+  WHEN n BETWEEN 20000 * 0.999 AND 100000 * 1.001 THEN 'um' ELSE 'mm' END AS unit FROM s),
+f AS (SELECT *, CASE unit WHEN 'm' THEN 1000 WHEN 'cm' THEN 10 WHEN 'um' THEN 0.001 WHEN 'in' THEN 25.4 ELSE 1 END::DOUBLE AS f FROM u)
 """
 
 SQL = {
     "p2_found": _UNITS + "SELECT DISTINCT coord_id, unit FROM u WHERE unit <> 'mm'",
+    "p2_positions_mm": _UNITS + "SELECT coord_id, subj, x, y, z, unit AS unit_decoded, x * f AS x_mm, y * f AS y_mm, z * f AS z_mm FROM f",
+    "p2_unit_counts": _UNITS + "SELECT unit AS unit_decoded, count(*) AS n, round(avg(sqrt((x * f) ** 2 + (y * f) ** 2 + (z * f) ** 2)), 3) AS mean_mm FROM f GROUP BY unit",
     "p3_found": _PERIODS + "SELECT * FROM r",
     "p3_coverage": _PERIODS
     + """SELECT rec_id, CAST(count(*) FILTER (kind = 'period') AS BIGINT) AS n_periods,

@@ -18,14 +18,14 @@ def test_statements(spark):
 
 def test_chunked_viterbi_equals_exhaustive():
     rng = np.random.default_rng(0)
-    t = U._transition(0.9)
+    t = U._steps(rng.normal(3, 2, size=6), np.nan, U.Model(stay=0.9))
     em = rng.normal(size=(6, len(U.STATES)))
-    best = max(itertools.product(range(len(U.STATES)), repeat=6), key=lambda p: max(t[s, p[0]] for s in range(5)) + em[0, p[0]] + sum(t[a, b] + em[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:]))))
-    m1, m2 = U._max_plus_scan(em[:4], t), U._max_plus_scan(em[4:], t)
+    best = max(itertools.product(range(len(U.STATES)), repeat=6), key=lambda p: max(t[0, s, p[0]] for s in range(5)) + em[0, p[0]] + sum(t[i + 1, a, b] + em[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:]))))
+    m1, m2 = U._max_plus_scan(em[:4], t[:4]), U._max_plus_scan(em[4:], t[4:])
     v1 = (np.zeros(5)[:, None] + m1).max(0)
     end = int((v1[:, None] + m2).max(0).argmax())
     mid = int((v1 + m2[:, end]).argmax())
-    path = [*U._trace(em[:4], t, np.zeros(5), mid), *U._trace(em[4:], t, v1, end)]
+    path = [*U._trace(em[:4], t[:4], np.zeros(5), mid), *U._trace(em[4:], t[4:], v1, end)]
     assert tuple(int(x) for x in path) == best
 
 
@@ -64,3 +64,40 @@ def test_chunks_do_not_change_the_result(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     one = {tuple(r) for r in _decode(df, chunk=5).select("coord_id", "unit_decoded").collect()}
     assert one == {tuple(r) for r in _decode(df, chunk=10_000).select("coord_id", "unit_decoded").collect()}
+
+
+def test_jumps_decide_where_ranges_and_statements_do_not(spark):
+    """With a range of 5 to 600 mm nearly every value fits two units or more; one row states a unit, one states a wrong one."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    level, unit = 60.0, "mm"
+    for i in range(400):
+        level = min(max(level * rng.uniform(0.97, 1.03), 40.0), 90.0)  # a smooth underlying level
+        if rng.random() < 0.03:
+            unit = "cm" if unit == "mm" else "mm"
+        v = level * rng.uniform(0.95, 1.05) / U.UNITS[unit]
+        want[i] = unit
+        rows.append((i, "s1" if i < 200 else "s2", v, 0.0, 0.0, "mm" if i in (0, 200) else "cm" if i == 30 else None, None, f"t{i:03d}", "e", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    m = U.Model(low_mm=5.0, high_mm=600.0, jump_sd=0.2, level_sd=5.0)
+    both = [i for i in want if 5 <= rows[i][2] <= 60]
+    assert len(both) > 150  # in range as millimetres and as centimetres
+    for chunk in (7, 4096):
+        got = {r.coord_id: r.unit_decoded for r in _decode(df, model=m, chunk=chunk).collect()}
+        assert got == want
+    # without the jumps neither the range nor the statements tell
+    blind = {r.coord_id: r.unit_decoded for r in _decode(df, model=U.Model(low_mm=5.0, high_mm=600.0, jump_sd=1e6, level_sd=1e6)).collect()}
+    assert sum(blind[i] != want[i] for i in want) > 100
+
+
+def test_level_follows_time(spark):
+    """Two days with another level each: the rows that fit one unit only set it, and it parts those that fit two."""
+    rows = []
+    for day, mm in ((1, 30.0), (5, 95.0)):
+        for i in range(60):
+            rows.append((day * 1000 + i, "s", mm / 1000 if i % 2 else mm / 10, 0.0, 0.0, None, None, f"2024-01-0{day} 10:{i:02d}:00", "e", 1))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("loaded_at", F.to_timestamp("loaded_at"))
+    m = U.Model(must_say=(), jump_sd=1e6, level_sd=0.3)
+    got = {r.coord_id: r.unit_decoded for r in _decode(df, model=m).collect()}
+    assert all(got[5000 + i] == ("m" if i % 2 else "cm") for i in range(60))
+    assert all(got[1000 + i] == ("m" if i % 2 else "cm") for i in range(60))
