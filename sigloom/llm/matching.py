@@ -1,8 +1,9 @@
 """Maps freely typed values to the closest entry of a reference list.
 
-Distinct values are normalised and cut into character n-grams, which an inverted index over the reference turns into a
-few candidates by weighted cosine. A value is accepted above a score and a margin; what stays between the thresholds
-is settled by an exact alignment against its candidates, or reported as unmatched.
+Distinct values are normalised; words that stand beside many entries' names without belonging to any are learned as
+noise and dropped. An inverted index of character n-grams retrieves every entry that may be meant, scored by weighted
+cosine. A value is accepted above a score and a margin; what stays between the thresholds is settled by an exact
+alignment against all its candidates, or reported as unmatched.
 """
 
 from __future__ import annotations
@@ -10,17 +11,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.session import broadcast_if_small
+from sigloom.session import broadcast_if_small, materialise
 
-#: Words that say a side, a doubt or a remark around a name. Fixed values.
-SIDE = {"l", "r", "lh", "rh", "left", "right", "li", "re", "links", "rechts", "linke", "rechte", "gauche", "droite", "izq", "der", "lt", "rt", "ctx", "bilateral"}
-REMARK = {"2nd", "1st", "3rd", "reading", "checked", "probably", "prob", "probable", "maybe", "likely", "possibly", "approx", "deep", "contact", "near", "edge"}
-PAD = " "
+_TOKEN = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
@@ -29,37 +29,12 @@ def fold(text: str) -> str:
     return "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
 
 
-def forms(text: str) -> list[str]:
-    """Normal forms of a typed value: as read, and with the parts around a comma exchanged.
-
-    Side words go; remark words go only while something else is left.
-    """
-
-    def words(t: str) -> list[str]:
-        w = [x for x in re.split(r"[^0-9a-z]+", t) if x]
-        w = [x for x in w if x not in SIDE] or w
-        return w
-
-    t = fold(text)
-    parts = [words(p) for p in t.split(",")]
-    plain = [x for p in parts for x in p]
-    kept = [x for x in plain if x not in REMARK] if not REMARK.issuperset(plain) else plain
-    out = [" ".join(plain), " ".join(kept)] if len(kept) >= 1 else [" ".join(plain)]
-    if len(parts) == 2:
-        swapped = [x for x in parts[1] + parts[0]]
-        out += [" ".join(swapped), " ".join(x for x in swapped if x not in REMARK)]
-    return list(dict.fromkeys(x for x in out if x))
-
-
-def grams(text: str, n: int = 3) -> list[str]:
-    """Distinct character n-grams of each word, with its borders, so that word order doesn't matter."""
-    out: set[str] = set()
-    for w in text.split():
-        p = PAD + w + PAD
-        out.update(p[i : i + n] for i in range(max(1, len(p) - n + 1)))
-    return sorted(out)
+def tokens(text: str) -> list[list[str]]:
+    """Folded runs of letters and digits of any script, by the parts that commas make."""
+    return [_TOKEN.findall(p) for p in re.split("[,，、]", fold(text))]
 
 
+@lru_cache(maxsize=1 << 16)
 def edit_similarity(a: str, b: str) -> float:
     """1 - optimal string alignment distance / longer length."""
     if a == b:
@@ -79,13 +54,16 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - prev[m] / max(n, m)
 
 
+def shortened(value: str, entry: str) -> bool:
+    """Whether the value has the entry's words, each whole or cut to four letters or more."""
+    v, e = value.split(), entry.split()
+    return len(v) == len(e) and all(y.startswith(x) and len(x) >= min(4, len(y)) for x, y in zip(v, e))
+
+
 def alignment(value: str, entry: str) -> float:
     """Similarity of a normal form to an entry's: whole strings without blanks, or word by word with shortened words."""
     best = edit_similarity(value.replace(" ", ""), entry.replace(" ", ""))
-    v, e = value.split(), entry.split()
-    if len(v) == len(e) and all(y.startswith(x) and len(x) >= min(4, len(y)) for x, y in zip(v, e)):
-        best = max(best, 0.97)
-    return best
+    return max(best, 0.97) if shortened(value, entry) else best
 
 
 def word_alignment(value: str, entry: str) -> float:
@@ -94,21 +72,107 @@ def word_alignment(value: str, entry: str) -> float:
     return sum(map(edit_similarity, v, e)) / len(v) if v and len(v) == len(e) else 0.0
 
 
-def reference_index(ref: DataFrame, code: str, name: str, n: int = 3) -> DataFrame:
-    """Inverted index (gram, code, weight): weights are inverse document frequencies, scaled to unit length by entry."""
+def similarity_bound(a: list[str], b: list[str]) -> np.ndarray:
+    """An upper bound of edit_similarity for each pair: letters of one string that the other lacks must be edited."""
+    known: dict[str, int] = {}
+    ia, ib = (np.array([known.setdefault(s, len(known)) for s in x], dtype=np.int64) for x in (a, b))
+    bags = np.zeros((len(known), 64), dtype=np.int32)
+    for s, i in known.items():
+        bags[i] = np.bincount(np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) % 64, minlength=64)
+    size = bags.sum(1)
+    diff = bags[ia] - bags[ib]
+    edits = np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1))
+    return 1 - edits / np.maximum(np.maximum(size[ia], size[ib]), 1)
+
+
+def grams(form: Column, n: int = 3) -> Column:
+    """Character n-grams of each word of a form, with its borders, so that word order doesn't matter."""
+
+    def of(word: Column) -> Column:
+        p = F.concat(F.lit(" "), word, F.lit(" "))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - (n - 1), F.lit(1))), lambda i: F.substring(p, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.transform(F.split(form, " "), of)))
+
+
+def retrieval_keys(form: Column) -> Column:
+    """Keys of which any two strings of an edit similarity over 0.7 share one.
+
+    They are the n-grams by word, those of the whole string without blanks, and its ends. k edits destroy at most 3k of
+    the whole string's n-grams, a transposition of neighbours 4; all are destroyed only where transpositions lie one or
+    two letters from either end and four apart, and these leave the end letter or the end pair but for its order.
+    """
+    whole = F.regexp_replace(form, " ", "")
+
+    def pair(at: int) -> Column:
+        return F.array_join(F.array_sort(F.split(F.substring(whole, at, 2), "")), "")
+
+    ends = [F.concat(F.lit(k), a, F.lit("-"), b) for k, a, b in (
+        ("1:", F.substring(whole, 1, 1), F.substring(whole, -1, 1)), ("2:", pair(1), F.substring(whole, -1, 1)), ("3:", F.substring(whole, 1, 1), pair(-2)), ("4:", pair(1), pair(-2)),
+    )]
+    return F.array_distinct(F.concat(F.transform(grams(form), lambda g: F.concat(F.lit("w:"), g)), F.transform(grams(whole), lambda g: F.concat(F.lit("s:"), g)), F.array(*ends)))
+
 
-    def build(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _words(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, part, place, word) of every folded word."""
+
+    def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [(c, k, g) for c, k in zip(pdf["code"], pdf["name"]) if k for g in grams(" ".join(re.findall(r"[0-9a-z]+", fold(k))), n)]
-            yield pd.DataFrame(rows, columns=["code", "name", "gram"])
-
-    src = ref.select(F.col(code).alias("code"), F.col(name).alias("name")).where("code is not null and name is not null")
-    g = src.mapInPandas(build, "code string, name string, gram string")
-    df = g.groupBy("gram").agg(F.countDistinct("code").alias("df"))
-    total = src.agg(F.count("*").alias("n_entries"))
-    g = g.join(df, "gram").crossJoin(F.broadcast(total)).withColumn("idf", F.log(1 + F.col("n_entries") / F.col("df")))
+            yield pd.DataFrame({"k": pdf["k"], "parts": [tokens(t) for t in pdf["t"]]})
+
+    x = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(parse, "k string, parts array<array<string>>")
+    x = x.select("k", F.posexplode("parts").alias("part", "ws")).select("k", "part", F.posexplode("ws").alias("place", "word"))
+    return x.withColumnRenamed("k", key)
+
+
+def _joined(words: Column) -> Column:
+    return F.concat_ws(" ", F.transform(words, lambda t: t["word"]))
+
+
+def _entries(ref: DataFrame) -> DataFrame:
+    """(code, name) with the name as a form; entries without a name have none."""
+    w = _words(ref.where("name is not null"), "code", "name")
+    return w.groupBy("code").agg(_joined(F.array_sort(F.collect_list(F.struct("part", "place", "word")))).alias("name"))
+
+
+def noise_words(words: DataFrame, ref: DataFrame, min_entries: int = 3) -> DataFrame:
+    """Words (word) that say nothing about the entry meant: sides, doubts and remarks, as the values themselves show.
+
+    A word is noise if it is part of no entry's name or code, and stands in values whose other words are just the name
+    or the code of an entry, for at least min_entries entries. words is (v, part, place, word) of the distinct values.
+    """
+    own = _words(ref.where("name is not null"), "code", "name").select("code", "word")
+    codes = _words(ref.select("code", F.col("code").alias("name")), "code", "name").select("code", "word")
+    sorted_words = F.concat_ws(" ", F.array_sort(F.collect_list("word")))
+    alias = own.groupBy("code").agg(sorted_words.alias("key")).unionByName(codes.groupBy("code").agg(sorted_words.alias("key"))).distinct()
+    vocabulary = own.select("word").unionByName(codes.select("word")).distinct().withColumn("known", F.lit(True))
+    of = words.join(broadcast_if_small(vocabulary), "word", "left")
+    by = of.groupBy("v").agg(F.concat_ws(" ", F.array_sort(F.collect_list(F.when(F.col("known"), F.col("word"))))).alias("key"), F.collect_set(F.when(F.col("known").isNull(), F.col("word"))).alias("extra"))
+    votes = by.where(F.size("extra") > 0).join(broadcast_if_small(alias), "key").select("code", F.explode("extra").alias("word"))
+    return votes.groupBy("word").agg(F.countDistinct("code").alias("n")).where(F.col("n") >= min_entries).select("word")
+
+
+def normal_forms(words: DataFrame, noise: DataFrame) -> DataFrame:
+    """(v, form): the words but noise (all of them if nothing else is left), and with the parts around one comma exchanged."""
+    marked = words.join(broadcast_if_small(noise.withColumn("noise", F.lit(True))), "word", "left")
+    t = marked.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("part", "place", "word", F.col("noise").isNotNull().alias("noise")))).alias("all"))
+    t = t.withColumn("kept", F.filter("all", lambda x: ~x["noise"])).withColumn("kept", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("all")))
+    first = F.filter("kept", lambda x: x["part"] == 0)
+    second = F.filter("kept", lambda x: x["part"] == 1)
+    swapped = F.when(F.size("kept") == F.size(first) + F.size(second), _joined(F.concat(second, first)))
+    return t.select("v", F.explode(F.array_distinct(F.array_compact(F.array(_joined(F.col("kept")), swapped)))).alias("form")).where("form <> ''")
+
+
+def reference_index(entries: DataFrame, n_entries: int) -> DataFrame:
+    """Inverted index (key, code, name, idf, weight): weights are inverse document frequencies, scaled to unit length by entry.
+
+    Keys that only retrieve weigh nothing.
+    """
+    g = entries.select("code", "name", F.explode(retrieval_keys(F.col("name"))).alias("key"))
+    df = g.groupBy("key").agg(F.countDistinct("code").alias("df"))
+    g = g.join(df, "key").withColumn("idf", F.when(F.col("key").startswith("w:"), F.log(1 + n_entries / F.col("df"))).otherwise(0.0))
     norm = g.groupBy("code").agg(F.sqrt(F.sum(F.col("idf") ** 2)).alias("norm"))
-    return g.join(norm, "code").select("gram", "code", "name", "idf", (F.col("idf") / F.col("norm")).alias("weight"), "n_entries")
+    return g.join(norm, "code").select("key", "code", "name", "idf", (F.col("idf") / F.col("norm")).alias("weight"))
 
 
 def match_values(
@@ -121,64 +185,68 @@ def match_values(
     margin: float = 0.12,
     check_accept: float = 0.72,
     check_margin: float = 0.02,
-    candidates: int = 5,
+    min_entries: int = 3,
     none: str = "none",
 ) -> DataFrame:
     """(value, code, score): for every distinct non-null value the entry that is meant, or `none`.
 
-    A value that is an entry's code but for case and punctuation is that entry. Empty and unreadable values are `none`;
-    ties between entries beyond the margin are broken by the alignment, then reported as `none`; repeated rows count
-    once; an empty input gives an empty result. Candidates beyond the best few by cosine cannot win: alignment uses the
-    same characters.
+    A value that is an entry's code but for case, punctuation and noise words is that entry. Empty and unreadable values
+    are `none`; ties between entries beyond the margin are broken by the alignment, then reported as `none`; repeated
+    rows count once; an empty input gives an empty result. All scripts are read. Every entry that shares a retrieval key
+    is a candidate, and every candidate that can reach check_accept is aligned: there is no limit on their number.
     """
-    small = ref.select(F.col(code).cast("string").alias("code"), F.col(name).cast("string").alias("name")).where("code is not null")
-    distinct = values.select(F.col(value).cast("string").alias("v")).where("v is not null").distinct()
-
-    def expand(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [(v, f, g) for v in pdf["v"] for f in forms(v) for g in grams(f)]
-            yield pd.DataFrame(rows, columns=["v", "form", "gram"])
-
-    def norms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            yield pd.DataFrame([(v, f) for v in pdf["v"] for f in forms(v)], columns=["v", "form"])
-
-    index = reference_index(ref, code, name)
-    grams_of = distinct.mapInPandas(expand, "v string, form string, gram string")
-    known = index.select("gram", "idf").distinct()
-    rare = index.agg(F.max(F.log(1 + F.col("n_entries"))).alias("rare"))
-    weighed = grams_of.join(broadcast_if_small(known), "gram", "left").crossJoin(F.broadcast(rare)).withColumn("w", F.coalesce("idf", "rare"))
-    length = weighed.groupBy("v", "form").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("len"))
-    hits = weighed.where("idf is not null").join(broadcast_if_small(index.select("gram", "code", "name", "weight")), "gram")
-    scored = hits.groupBy("v", "form", "code", "name").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")).join(length, ["v", "form"])
-    scored = scored.withColumn("cosine", F.col("dot") / F.col("len")).groupBy("v", "code", "name").agg(F.max("cosine").alias("cosine"))
-    best = scored.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "code", "name")), asc=False), 1, candidates).alias("cands"))
-    by_code = small.select(F.regexp_replace(F.lower("code"), "[^0-9a-z]", "").alias("ckey"), F.col("code").alias("exact")).groupBy("ckey").agg(F.min("exact").alias("exact"))
-    named = distinct.mapInPandas(norms, "v string, form string").withColumn("ckey", F.regexp_replace("form", " ", ""))
-    exact = named.join(broadcast_if_small(by_code), "ckey").groupBy("v").agg(F.min("exact").alias("exact"))
-
-    def decide(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    floor = check_accept - check_margin
+    small = materialise(ref.select(F.col(code).cast("string").alias("code"), F.col(name).cast("string").alias("name")).where("code is not null"))
+    distinct = materialise(values.select(F.col(value).cast("string").alias("v")).where("v is not null").distinct())
+    words = materialise(_words(distinct.withColumn("t", F.col("v")), "v", "t"))
+    forms = materialise(normal_forms(words, noise_words(words, small, min_entries)))
+    n_entries = small.where("name is not null").count()
+    index = materialise(reference_index(_entries(small), n_entries))
+
+    keys = forms.select("v", "form", F.explode(retrieval_keys(F.col("form"))).alias("key"))
+    known = index.groupBy("key").agg(F.max("idf").alias("idf"))
+    rare = float(np.log(1 + max(n_entries, 1)))
+    weighed = keys.join(broadcast_if_small(known), "key", "left").withColumn("w", F.when(F.col("key").startswith("w:"), F.coalesce("idf", F.lit(rare))).otherwise(0.0))
+    weighed = weighed.withColumn("own", F.col("w") ** 2)
+    length = weighed.groupBy("v", "form").agg(F.sqrt(F.sum("own")).alias("len"))
+    hits = weighed.where("idf is not null").join(broadcast_if_small(index.select("key", "code", "name", "weight")), "key")
+    pairs = hits.groupBy("v", "form", "code", "name").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")).join(length, ["v", "form"])
+    pairs = pairs.select("v", "form", "code", "name", (F.col("dot") / F.col("len")).alias("cosine"))
+
+    def align(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for v, exact_code, cands in zip(pdf["v"], pdf["exact"], pdf["cands"]):
-                if exact_code is not None:
-                    out.append((v, exact_code, 1.0))
-                    continue
-                c = [(x["cosine"], x["code"], x["name"]) for x in cands] if cands is not None else []
-                if c and c[0][0] >= accept and (len(c) == 1 or c[0][0] - c[1][0] >= margin):
-                    out.append((v, c[0][1], float(c[0][0])))
-                    continue
-                fs = forms(v)
-                named = [(cd, " ".join(re.findall(r"[0-9a-z]+", fold(nm)))) for _, cd, nm in c]
-                ranked = sorted(((max(alignment(f, nm) for f in fs), cd, nm) for cd, nm in named), reverse=True) if fs else []
-                top = ranked[0][0] if ranked else 0.0
-                near = [x for x in ranked if top - x[0] < check_margin] if top >= check_accept else []
-                if len(near) > 1:  # near ties are parted word by word
-                    by_word = sorted(((max(word_alignment(f, nm) for f in fs), cd) for _, cd, nm in near), reverse=True)
-                    near = [(top, by_word[0][1])] if by_word[0][0] - by_word[1][0] >= check_margin else []
-                out.append((v, near[0][1] if near else none, float(top)))
-            yield pd.DataFrame(out, columns=["v", "code", "score"])
-
-    together = distinct.join(exact, "v", "left").join(best, "v", "left").select("v", "exact", "cands")
-    got = together.mapInPandas(decide, "v string, code string, score double")
-    return got.select(F.col("v").alias(value), F.col("code").alias(code), "score")
+            f, e = pdf["form"].tolist(), pdf["name"].tolist()
+            bare_f, bare_e = [x.replace(" ", "") for x in f], [x.replace(" ", "") for x in e]
+            may = similarity_bound(bare_f, bare_e) >= floor if len(pdf) else []
+            sim, by_word = np.zeros(len(pdf)), np.zeros(len(pdf))
+            for k, ok in enumerate(may):
+                if ok:
+                    sim[k] = edit_similarity(bare_f[k], bare_e[k])
+                if f[k][0] == e[k][0] and shortened(f[k], e[k]):
+                    sim[k] = max(sim[k], 0.97)
+                if sim[k] >= floor:
+                    by_word[k] = word_alignment(f[k], e[k])
+            yield pd.DataFrame({"v": pdf["v"], "code": pdf["code"], "cosine": pdf["cosine"], "sim": sim, "by_word": by_word})
+
+    scored = pairs.mapInPandas(align, "v string, code string, cosine double, sim double, by_word double")
+    scored = scored.groupBy("v", "code").agg(F.max("cosine").alias("cosine"), F.max("sim").alias("sim"), F.max("by_word").alias("by_word"))
+    of_value = Window.partitionBy("v")
+    ranked = scored.withColumn("rc", F.row_number().over(of_value.orderBy(F.desc("cosine"), F.desc("code")))).withColumn("top", F.max("sim").over(of_value))
+    ranked = ranked.withColumn("near", (F.col("top") >= check_accept) & (F.col("top") - F.col("sim") < check_margin))
+    ranked = ranked.withColumn("rw", F.row_number().over(of_value.orderBy(F.desc("near"), F.desc("by_word"), F.desc("code"))))
+    at = lambda rank, k, c: F.max(F.when(F.col(rank) == k, F.col(c)))
+    best = ranked.groupBy("v").agg(
+        at("rc", 1, "cosine").alias("c1"), at("rc", 2, "cosine").alias("c2"), at("rc", 1, "code").alias("by_cosine"), F.max("top").alias("top"),
+        F.count(F.when(F.col("near"), 1)).alias("n_near"), at("rw", 1, "by_word").alias("w1"), at("rw", 2, "by_word").alias("w2"), at("rw", 1, "code").alias("by_alignment"),
+    )
+    bare = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}]", "")
+    by_code = small.select(bare(F.lower("code")).alias("ckey"), "code").where("ckey <> ''").groupBy("ckey").agg(F.min("code").alias("exact"))
+    exact = forms.select("v", F.regexp_replace("form", " ", "").alias("ckey")).join(broadcast_if_small(by_code), "ckey").groupBy("v").agg(F.min("exact").alias("exact"))
+    sure = (F.col("c1") >= accept) & (F.col("c2").isNull() | (F.col("c1") - F.col("c2") >= margin))
+    parted = (F.col("n_near") == 1) | ((F.col("n_near") > 1) & (F.col("w1") - F.col("w2") >= check_margin))
+    got = distinct.join(best, "v", "left").join(exact, "v", "left")
+    return got.select(
+        F.col("v").alias(value),
+        F.coalesce("exact", F.when(sure, F.col("by_cosine")), F.when(parted, F.col("by_alignment")), F.lit(none)).alias(code),
+        F.when(F.col("exact").isNotNull(), 1.0).when(sure, F.col("c1")).otherwise(F.coalesce("top", F.lit(0.0))).alias("score"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm import clusters, leakage, matching, packing, sampling, sentences
-from sigloom.session import materialise, table
+from sigloom.session import broadcast_if_small, materialise, table
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -60,13 +60,12 @@ def p5_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Electrode rows whose label is not an area code, with the entry that is meant."""
-    from sigloom.session import broadcast_if_small
-
     e, ref = table(spark, d, "electrodes"), table(spark, d, "area_ref")
     typed = e.where("label is not null").join(broadcast_if_small(ref.select(F.col("area_code").alias("label"))), "label", "left_anti")
-    m = matching.match_values(typed, "label", ref, "area_code", "area_name")
-    # distinct values are far fewer than rows; a value that a third of the rows hold is not shuffled while they fit
-    return typed.join(broadcast_if_small(m.select("label", "area_code")), "label").select(F.col("elec_id").cast("bigint").alias("elec_id"), "area_code").distinct()
+    # distinct values are far fewer than rows: while they fit, a value that a third of the rows hold is not shuffled; a
+    # larger table of them is joined by shuffle, where adaptive execution splits such a value's rows
+    m = materialise(matching.match_values(typed, "label", ref, "area_code", "area_name").select("label", "area_code"))
+    return typed.join(broadcast_if_small(m), "label").select(F.col("elec_id").cast("bigint").alias("elec_id"), "area_code").distinct()
 
 
 def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
