@@ -1,9 +1,10 @@
 """Finds evaluation passages inside corpus documents by greedy string tiling.
 
-Words of documents and items are folded alike. A seed index of the items' short word runs picks the (document, item)
-pairs; each pair is tiled greedily by its longest common runs, found with rolling hashes; tiles that lie in line are
-chained over altered words, and the covered stretch of the item decides. Coverage of the whole item, in any order of
-its passages, is reported too.
+Words of documents and items are folded alike. Documents and items are joined by the short word runs (seeds) that they
+share; each pair is tiled greedily by its longest common runs, found with rolling hashes. Tiles that lie in line are
+chained over altered words, and a pair leaks if the stretch of the item that they cover is long enough, or if tiles in
+any order cover enough of the whole item. A small set of items travels to the documents; a larger one meets them in one
+shuffled join of seeds.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.session import spread
+from sigloom.session import materialise, spread
 
 #: Letters of other scripts that look like Latin ones. Fixed values, position by position.
 LOOKS_FROM = "авекмнорстухіјѕһԁԛԝү" + "αβγενικορτυχωη" + "ıɡɑ"
@@ -30,7 +32,7 @@ _TABLE = {**_LOOKS, **_DROP}
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in _DROP) + "]")
 _CJK = re.compile(r"[⺀-ヿ㐀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff々〆]")
-#: A block of items that one pass sends to all tasks.
+#: Items that are sent to all tasks: at most so many bytes of text. More are joined by shuffle.
 BLOCK_BYTES = 8 * 1024 * 1024
 
 
@@ -65,11 +67,10 @@ def units(text: str) -> tuple[list[str], list[int], bool]:
 
 
 class ItemIndex:
-    """Seed index over a block of items."""
+    """Seed index over items."""
 
     def __init__(self, items: list[tuple[int, str]], word_seed: int, char_seed: int):
         self.seed = {False: word_seed, True: char_seed}
-        self.units: dict[int, list[str]] = {}
         self.word_no: dict[int, list[int]] = {}
         self.cjk: dict[int, bool] = {}
         self.vocab: dict[str, int] = {}
@@ -77,7 +78,7 @@ class ItemIndex:
         self.seeds: dict[bool, dict[tuple, list[tuple[int, int]]]] = {False: defaultdict(list), True: defaultdict(list)}
         for item, text in items:
             u, nos, cjk = units(text)
-            self.units[item], self.word_no[item], self.cjk[item] = u, nos, cjk
+            self.word_no[item], self.cjk[item] = nos, cjk
             k = self.seed[cjk]
             ids = [self.vocab.setdefault(x, len(self.vocab)) for x in u]
             self.ids[item] = np.array(ids, dtype=np.int64)
@@ -114,16 +115,42 @@ class ItemIndex:
         return found
 
 
-def may_cover(a: np.ndarray, b: np.ndarray, diagonals: set[int], least: int, altered: float) -> bool:
-    """Whether some window of `least` units of a can be covered on the seeds' diagonals and those beside them.
+@lru_cache(maxsize=1 << 18)
+def _number(unit: str) -> int:
+    return xxhash.xxh64_intdigest(unit)
 
-    An upper bound: a stretch of `least` units or more has a window of that size with at most twice its share altered.
+
+def seed_hashes(units_: list[str], k: int, cjk: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of the runs of k units, as signed 64-bit numbers; runs of letters and of words don't meet."""
+    n = len(units_) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    x = np.array([_number(u) for u in units_], dtype=np.uint64)
+    h = np.full(n, 1 + cjk, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + x[j : j + n]
+    got, count = np.unique(h, return_counts=True)
+    return got.view(np.int64), count.astype(np.int64)
+
+
+def may_cover(a: np.ndarray, b: np.ndarray, diagonals: set[int], least: int, altered: float, coverage: float) -> bool:
+    """Whether some window of `least` units of a can be covered on the seeds' diagonals and those beside them, or the
+    share `coverage` of a on the seeds' diagonals.
+
+    An upper bound: a stretch of `least` units or more has a window of that size with at most twice its share altered,
+    and every tile as long as a seed lies on a diagonal that has one.
     """
+    if len(a) < least:
+        return False
     reach = int(np.ceil(altered * least)) + 1
-    d = np.unique(np.fromiter(diagonals, dtype=np.int64, count=len(diagonals))[:, None] + np.arange(-reach, reach + 1)[None])
+    own = np.fromiter(diagonals, dtype=np.int64, count=len(diagonals))
+    d = np.unique(own[:, None] + np.arange(-reach, reach + 1)[None])
     at = d[:, None] + np.arange(len(a))[None]
     inside = (at >= 0) & (at < len(b))
     hit = ((b[np.clip(at, 0, len(b) - 1)] == a[None]) & inside).any(0)
+    if hit.mean() >= coverage:
+        return True
     c = np.concatenate([[0], np.cumsum(hit)])
     return bool((c[least:] - c[:-least]).max() >= least - int(np.ceil(2 * altered * least)))
 
@@ -132,7 +159,7 @@ def common_runs(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, in
     """Maximal common runs (start in a, start in b, length) of at least k units, by Karp-Rabin hashes of k units."""
     if len(a) < k or len(b) < k:
         return []
-    base, mask = np.uint64(0x9E3779B97F4A7C15), []
+    base = np.uint64(0x9E3779B97F4A7C15)
     ha = np.zeros(len(a) - k + 1, dtype=np.uint64)
     hb = np.zeros(len(b) - k + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
@@ -142,7 +169,6 @@ def common_runs(a: np.ndarray, b: np.ndarray, k: int) -> list[tuple[int, int, in
     where: dict[int, list[int]] = defaultdict(list)
     for i, h in enumerate(ha.tolist()):
         where[h].append(i)
-    del mask
     diagonals: dict[int, list[int]] = defaultdict(list)
     for j, h in enumerate(hb.tolist()):
         for i in where.get(h, ()):
@@ -223,6 +249,24 @@ def longest_stretch(t: list[tuple[int, int, int]], word_no: list[int], altered:
     return best, why
 
 
+class Rule:
+    """When a pair of an item (a) and a document (b), as unit numbers, is a leak."""
+
+    def __init__(self, min_words: int, min_chars: int, altered: float, coverage: float, word_seed: int, char_seed: int, word_tile: int, char_tile: int):
+        self.least, self.seed, self.tile = {False: min_words, True: min_chars}, {False: word_seed, True: char_seed}, {False: word_tile, True: char_tile}
+        self.altered, self.coverage = altered, coverage
+
+    def judge(self, a: np.ndarray, word_no: list[int], b: np.ndarray, diagonals: set[int], cjk: bool) -> tuple[int, int, bool, float] | None:
+        """(stretch, altered, in_line, coverage) of a leak, else None. Coverage is by tiles as long as a seed, in any order."""
+        least = self.least[cjk]
+        if not may_cover(a, b, diagonals, least, self.altered, self.coverage):
+            return None
+        t = tiles(a, b, self.tile[cjk])
+        n, gap = longest_stretch(t, word_no, self.altered, a, b)
+        covered = sum(r[2] for r in t if r[2] >= self.seed[cjk]) / len(a)
+        return (n, gap, n >= least, covered) if n >= least or covered >= self.coverage else None
+
+
 def find_leaks(
     docs: DataFrame,
     doc_id: str,
@@ -233,37 +277,41 @@ def find_leaks(
     min_words: int = 20,
     min_chars: int = 40,
     altered: float = 0.1,
+    min_coverage: float = 0.8,
     word_seed: int = 5,
     char_seed: int = 6,
     word_tile: int = 2,
     char_tile: int = 3,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(doc_id, item_id, stretch, altered, coverage) of every document that holds a long enough stretch of an item.
-
-    min_words consecutive words of the item (min_chars letters where it is Chinese or Japanese) must stand in the
-    document in line, with at most the share `altered` of them changed. Any such stretch holds unchanged runs of word_seed
-    words (char_seed letters) at least, so the seeds miss none. Null and empty texts give nothing;
-    repeated rows give one row; an item shorter than the minimum never leaks. Items are sent to the tasks in blocks of
-    bounded size, however many there are; documents stream by and are never shuffled.
+    """(doc_id, item_id, stretch, altered, in_line, coverage) of every document that holds enough of an item.
+
+    Enough are min_words consecutive words of the item (min_chars letters where it is Chinese or Japanese) in line, with
+    at most the share `altered` of them changed, or the share min_coverage of the whole item in unchanged runs of at
+    least a seed, in any order; in_line tells that the stretch is enough. Any such stretch holds two unchanged runs of word_seed words (char_seed letters) at
+    least, so the seeds miss none. Null and empty texts give nothing; repeated rows give one row; an item shorter than
+    the minimum never leaks. Items of at most block_bytes go to all tasks and documents stream by, never shuffled; more
+    items are joined with the documents by seed, in one pass over either. Both ways give the same rows.
     """
+    rule = Rule(min_words, min_chars, altered, min_coverage, word_seed, char_seed, word_tile, char_tile)
     x = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null and text <> ''")
-    its = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    x = spread(x, "doc")
-    n_blocks = max(1, -(-(its.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
-    out = None
-    for b in range(n_blocks):
-        block = its.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b) if n_blocks > 1 else its
-        rows = sorted({(int(r.item), r.text) for r in block.collect()})  # a block has at most about BLOCK_BYTES
-        part = _scan(x, rows, min_words, min_chars, altered, word_seed, char_seed, word_tile, char_tile)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc", "item").agg(F.max("stretch").alias("stretch"), F.max_by("altered", "stretch").alias("altered"), F.max("coverage").alias("coverage")).select(
-        F.col("doc").alias(doc_id), F.col("item").alias(item_id), "stretch", "altered", "coverage"
+    its = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
+    if (its.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= block_bytes:
+        rows = sorted((int(r.item), r.text) for r in its.collect())  # block_bytes at most
+        out = _scan(spread(x, "doc"), rows, rule)
+    else:
+        out = _by_seed(x, its, rule)
+    return out.groupBy("doc", "item").agg(F.max("stretch").alias("stretch"), F.max_by("altered", "stretch").alias("altered"), F.max("in_line").alias("in_line"), F.max("coverage").alias("coverage")).select(
+        F.col("doc").alias(doc_id), F.col("item").alias(item_id), "stretch", "altered", "in_line", "coverage"
     )
 
 
-def _scan(x: DataFrame, rows: list, min_words: int, min_chars: int, altered: float, word_seed: int, char_seed: int, word_tile: int, char_tile: int) -> DataFrame:
+LEAKS = "doc bigint, item bigint, stretch int, altered int, in_line boolean, coverage double"
+
+
+def _scan(x: DataFrame, rows: list, rule: Rule) -> DataFrame:
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = ItemIndex(rows, word_seed, char_seed)
+        index = ItemIndex(rows, rule.seed[False], rule.seed[True])
         has_cjk = any(index.cjk.values())
         for pdf in it:
             out = []
@@ -277,15 +325,56 @@ def _scan(x: DataFrame, rows: list, min_words: int, min_chars: int, altered: flo
                     if not mine:
                         continue
                     b = np.array(ids, dtype=np.int64)
-                    least = min_chars if cjk else min_words
                     for i, diagonals in mine.items():
-                        a = index.ids[i]
-                        if len(a) < least or not may_cover(a, b, diagonals, least, altered):
-                            continue
-                        t_ = tiles(a, b, char_tile if cjk else word_tile)
-                        n, gap = longest_stretch(t_, index.word_no[i], altered, np.asarray(a), b)
-                        if n >= least:
-                            out.append((doc, i, n, gap, sum(r[2] for r in t_) / len(a)))
-            yield pd.DataFrame(out, columns=["doc", "item", "stretch", "altered", "coverage"])
-
-    return x.mapInPandas(scan, "doc bigint, item bigint, stretch int, altered int, coverage double")
+                        leak = rule.judge(index.ids[i], index.word_no[i], b, diagonals, cjk)
+                        if leak:
+                            out.append((doc, i, *leak))
+            yield pd.DataFrame(out, columns=["doc", "item", "stretch", "altered", "in_line", "coverage"])
+
+    return x.mapInPandas(scan, LEAKS)
+
+
+def _by_seed(docs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
+    """The leaks by a shuffled join of seeds; a seed of many documents is split by adaptive execution."""
+
+    def doc_seeds(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for doc, text in zip(pdf["doc"], pdf["text"]):
+                words = words_of(text)
+                h, n = seed_hashes(words, rule.seed[False], False)
+                yield pd.DataFrame({"h": h, "doc": doc, "n": n})
+                if _CJK.search(text):
+                    h, n = seed_hashes(list("".join(words)), rule.seed[True], True)
+                    yield pd.DataFrame({"h": h, "doc": doc, "n": n})
+
+    def item_seeds(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for item, text in zip(pdf["item"], pdf["text"]):
+                u, _, cjk = units(text)
+                h, n = seed_hashes(u, rule.seed[cjk], cjk)
+                yield pd.DataFrame({"h": h, "item": item, "m": n})
+
+    left = spread(docs, "doc").mapInPandas(doc_seeds, "h bigint, doc bigint, n bigint")
+    right = items.mapInPandas(item_seeds, "h bigint, item bigint, m bigint")
+    pairs = left.join(right, "h").groupBy("doc", "item").agg(F.sum(F.col("n") * F.col("m")).alias("shared")).where("shared >= 2").select("doc", "item")
+    pairs = materialise(pairs)
+    both = docs.withColumnRenamed("text", "b").join(pairs, "doc").join(items.withColumnRenamed("text", "a"), "item")
+    both = both.repartition("doc").sortWithinPartitions("doc", "b")  # a document's words are folded once
+
+    def judge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, words = None, []
+        for pdf in it:
+            out = []
+            for doc, item, b, a in zip(pdf["doc"], pdf["item"], pdf["b"], pdf["a"]):
+                if b is not last and b != last:
+                    last, words = b, words_of(b)
+                index = ItemIndex([(item, a)], rule.seed[False], rule.seed[True])
+                cjk = index.cjk[item]
+                ids = index.numbers(list("".join(words)) if cjk else words)
+                for diagonals in index.candidates(ids, cjk).values():
+                    leak = rule.judge(index.ids[item], index.word_no[item], np.array(ids, dtype=np.int64), diagonals, cjk)
+                    if leak:
+                        out.append((doc, item, *leak))
+            yield pd.DataFrame(out, columns=["doc", "item", "stretch", "altered", "in_line", "coverage"])
+
+    return both.select("doc", "item", "b", "a").mapInPandas(judge, LEAKS)

@@ -105,13 +105,13 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Every leak with the covered stretch and the item's coverage."""
+    """Every leak, by a stretch in line or by the item's coverage in any order, with both."""
     return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and the items that leaked into them."""
-    return p7_leaks(spark, d).select("doc_id", "item_id")
+    """Documents and the items of which they hold a long enough stretch in line."""
+    return p7_leaks(spark, d).where("in_line").select("doc_id", "item_id")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:

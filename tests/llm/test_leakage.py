@@ -36,15 +36,31 @@ def test_letters_of_scripts_without_blanks(spark):
     assert {d for d, _ in got} == {1, 3}
 
 
-def test_blocks_and_empty(spark, monkeypatch):
+def _by(rows):
+    return {k: (r.stretch, r.altered, r.in_line, round(r.coverage, 6)) for k, r in rows.items()}
+
+
+def test_join_of_seeds_equals_broadcast_and_empty(spark):
     rng = random.Random(2)
     items = [(i, " ".join(f"{rng.choice(WORDS)}{rng.randrange(99)}" for _ in range(30))) for i in range(12)]
-    docs = [(100 + i, "start " + t + " end") for i, t in items]
-    want = {(100 + i, i) for i, _ in items}
-    assert set(_find(spark, docs, items)) == want
-    monkeypatch.setattr(L, "BLOCK_BYTES", 600)
-    assert set(_find(spark, docs, items)) == want
+    items.append((50, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(80))))
+    docs = [(100 + i, "start " + t + " end") for i, t in items] + [(300, "a b c"), (301, None), (302, ""), (303, items[3][1] + " and " + items[4][1]), (304, "前文。" + items[-1][1][5:60])]
+    docs += [(305, " ".join(items[7][1].split()[:18])), (306, "same closing words of all " * 30), docs[0]]
+    want = _find(spark, docs, items)
+    assert {(100 + i, i) for i, _ in items} | {(303, 3), (303, 4), (304, 50)} == set(want)
+    assert _by(_find(spark, docs, items, block_bytes=0)) == _by(want)
     assert _find(spark, [], items) == {} and _find(spark, docs, []) == {}
+    assert _find(spark, [], items, block_bytes=0) == {}
+
+
+def test_reordered_passages(spark):
+    """Four pieces of ten words in another order cover the whole item, though no stretch in line is long enough."""
+    item = [f"{w}{i}" for i, w in enumerate((WORDS * 2)[:40])]
+    pieces = [item[i : i + 10] for i in (20, 0, 30, 10)]
+    docs = [(1, " filler ".join(" ".join(p) for p in pieces)), (2, " ".join(pieces[0] + ["x"] * 9 + pieces[1])), (3, " ".join(item))]
+    for block in (L.BLOCK_BYTES, 0):
+        got = _by(_find(spark, docs, [(1, " ".join(item))], block_bytes=block))
+        assert got == {(1, 1): (10, 0, False, 1.0), (3, 1): (40, 0, True, 1.0)}
 
 
 def test_tiles_equal_brute_force():
