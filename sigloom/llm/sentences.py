@@ -1,17 +1,22 @@
-"""Splits texts of any language and script into sentences with a linear-chain sequence model.
-
-Only a few characters can be followed by a sentence boundary (end marks with their closing quotes, blank lines, blanks
-between Thai letters); all others are inside with certainty. Each such place is tagged boundary or inside by a
-log-linear chain model with Viterbi decoding: its potentials are learned by an averaged structured perceptron, from
-labels that punctuation gives away. For scripts written without end marks the labels come from texts whose punctuation
-has been stripped, so that the model learns them from blanks and neighbouring letters alone.
+"""Splits texts of any language and script into sentences with a linear-chain sequence model over characters.
+
+Every character is tagged as a sentence's last or as inside one. Only a few can be the last (end marks with their closing
+quotes, what stands before a blank line, before a blank beside a Thai letter); all others are inside with certainty, so
+the chain is decoded exactly over these places alone. A place is scored by a log-linear chain model with Viterbi
+decoding, from what stands there: marks, kinds of letters, blanks, and the words on either side. There are no lists of
+abbreviations or openers: the labels for training come from the corpus itself. Ends and starts of paragraphs are ends
+and starts of sentences; a word that often stands before a mark but never ends a paragraph is no end, and a word that
+often follows a mark but never opens a paragraph is no start. For scripts written without end marks the training texts
+are stripped of them, so that the model learns from blanks and neighbouring letters alone.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,30 +35,37 @@ GREEK_QUESTION = ";;"
 OPEN, CLOSE = "«„「『（([【〈《‹", "»」』）)]】〉》›"
 PAIR = {"«": "»", "„": "“”\"", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "〈": "〉", "《": "》", "‹": "›", "“": "”", '"': '"'}
 BRACKETS = "（([【"
-#: Abbreviations, lower case without the last dot. Fixed values.
-NEVER_ENDS = frozenset(
-    "dr prof mr mrs ms st sr sra srta vs cf vgl ср см bzgl bzw med em e.g i.e z.b d.h д-р δρ π.χ βλ д ул им г-н г-жа dra mme mlle mgr hr fr frl hrn lic ing д. डॉ श्री د أ dott sig π.χ δηλ".split()
-)
-BEFORE_NUMBER = frozenset(
-    "no nos fig figs sec secs p pp eq eqs ch chap vol art abb tab nr núm num pág págs ca aprox approx env ок табл рис стр гл εικ πίν σελ αρ jan feb mar apr jun jul aug sep sept oct nov dec cap ref refs vers ver op tel".split()
-)
-MAY_END = frozenset("etc usw a.m p.m jr sr. u.s u.k s.d avg al г гг δευτ χιλ λεπτ inc ltd co corp min max κ.λπ κτλ др т.д т.п u.a ff ave resp dept est incl excl ext std temp".split())
-LETTER_PAIRS_STAY = frozenset({("d", "h"), ("z", "b"), ("i", "e"), ("e", "g"), ("т", "е"), ("p", "ex"), ("p", "ej"), ("s", "o"), ("o", "ä"), ("v", "a"), ("u", "u"), ("т", "к")})
-LETTER_PAIRS_MAY_END = frozenset({("т", "д"), ("т", "п"), ("u", "a"), ("p", "m"), ("a", "m"), ("s", "d")})
-ORDINAL_BEFORE = frozenset("am im vom zum zur der die das dem den des beim jeder jedem seit ab bis und erst ins".split())
-ORDINAL_AFTER = frozenset("to of and or through bis und a y et и до".split())
-
 _TOKEN = re.compile(
     r"(?P<blank>(?:\r\n|[\n\r \x85])[^\S\n\r \x85]*(?:(?:\r\n|[\n\r \x85])\s*)+| \s*)"
     rf"|(?P<end>(?:[.…{MARKS}])+)|(?P<gq>[{GREEK_QUESTION}])|(?P<q>[{re.escape(OPEN + CLOSE)}“”\"])"
-    r"|(?P<thai>(?<=[฀-๏])[^\S\n\r \x85]+(?=[฀-๏]))"
+    r"|(?P<thai>(?<=[฀-๏])[^\S\n\r \x85]+(?=[^\W_])|(?<=[^\W_])[^\S\n\r \x85]+(?=[฀-๏]))"
 )
-_AFTER_SURE = re.compile(rf".*[{SURE}]", re.S)
 #: Characters that are seen by nobody and part nothing (Unicode category Cf).
 UNSEEN = frozenset(chr(c) for c in (*range(0xAD, 0xAE), *range(0x600, 0x606), 0x61C, 0x6DD, 0x70F, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFFF9, 0xFFFC)))
-_GLUED = re.compile(r"[^\W_A-ZÀ-ÞΑ-ΩА-Я)”\"»%]\.([^\W\d_a-zß-ÿα-ωа-я]\w*)$")
 _MARKER = re.compile(r"[\s\W]*(?:\d{1,3}|[^\W\d_])[.)]\Z")
-_NEXT_WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts that part no words.
+_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
+_RIGHT = re.compile(rf"[{re.escape(OPEN)}“”\"'‘\[¿¡\s]*([぀-ゟ]|[{_UNSPACED}][^\s.]?|\d{{1,9}}[.)]?|[^\W{_UNSPACED}][^\W{_UNSPACED}'’\-]{{0,23}}|.)", re.S)
+_LEFT = re.compile(rf"(?:[{_UNSPACED}{SURE}!?]|^)([^{_UNSPACED}{SURE}!?]*)\Z", re.S)
+_DIGITS = re.compile(r"\d+")
+_LATE = "(«„“\"[¿¡（'‘「『"
+
+
+def left_word(before: str) -> str:
+    """The word that a mark follows, in lower case, with runs of digits as 0; in scripts without blanks two letters."""
+    if not before or before[-1].isspace():
+        return ""
+    w = before[-24:].rsplit(None, 1)[-1]
+    if not w.isascii():
+        m = _LEFT.search(w)
+        w = (m.group(1) or w[-2:]) if m else w[-2:]
+    return _DIGITS.sub("0", w.lower().lstrip(_LATE))
+
+
+def right_word(text: str, at: int) -> str:
+    """The word that stands at an offset, behind what opens it, with runs of digits as 0; empty at the end."""
+    m = _RIGHT.match(text, at)
+    return _DIGITS.sub("0", m.group(1)) if m else ""
 
 
 @lru_cache(maxsize=65536)
@@ -80,10 +92,6 @@ def char_class(c: str) -> str:
     return "s"
 
 
-def _script(c: str) -> str:
-    return unicodedata.name(c, "?").split(" ")[0].split("-")[0]
-
-
 class Place:
     """A place where a sentence may end: its offset, its observations, and what holds only after a boundary before."""
 
@@ -123,27 +131,25 @@ def places(text: str) -> list[Place]:
     out: list[Place] = []
     n = len(text)
     depth_end = -1  # no place before this offset: it lies within quotation marks or brackets
-    last_end, last_quote = 0, (-1, -1)
+    last_end = 0
     para = 0
     skip_to = 0
     for m in tokens:
         kind, s, e = m.lastgroup, m.start(), m.end()
         if kind == "blank":
-            out.append(Place(s, 1, ("blank",)))
+            out.append(Place(s, 1, ("blank", right_word(text, e))))
             para, last_end, depth_end = e, e, -1
             continue
         if kind == "q":
             role = roles.get(s)
             if role and role[0] == "open" and role[1] > depth_end:
                 depth_end = role[1]
-                last_quote = (s, role[1])
             continue
         if s < skip_to:
             continue
         if kind == "thai":
             if s >= depth_end:
-                out.append(Place(s, 0, ("thai", text[s - 1] in "ๆฯ")))
-                last_end = e
+                out.append(Place(s, 0, ("thai", "ws", char_class(text[e]), "", text[s - 1], "", text[e])))
             continue
         # closing marks after the end mark, also after a blank where their partner is open
         closed_quote = closed_bracket = False
@@ -194,174 +200,178 @@ def places(text: str) -> list[Place]:
                 mark = "ell"
             else:
                 mark = "bang" if set(run) <= set(".!?…") else "sure"
-        gap1 = "" if not c1 else ("ws" if c1.isspace() else char_class(c1))
+        gap = "" if not nxt else "nl" if breaks else "ws" if k > p else "x"
         cls = char_class(nxt)
-        if nxt and roles.get(k, ("", 0))[0] == "open":
-            cls = "o"
-        elif nxt and roles.get(k, ("", 0))[0] == "close":
-            cls = "p"
-        if cls == "o" and nxt in '"“' and k not in roles:
-            cls = "s"
-        word = ""
-        if mark == "dot":
-            w = before.rsplit(None, 1)[-1] if before and not before[-1].isspace() else ""
-            if w and not w.isascii():
-                cut = _AFTER_SURE.match(w)
-                w = w[cut.end() :] if cut else w
-            word = w.lstrip("(«„“\"[¿¡（'")
-            glued = _GLUED.search(word) if "." in word else None
-            word = glued.group(1) if glued else word
-        abbr = _abbreviation(word, before, text, k, cls) if mark == "dot" else ""
-        follow = ""
-        if mark == "dot" and gap1 in ("U", "l"):
-            # written together: a new sentence has a capital followed by a small letter or a blank
-            second = text[p + 1] if p + 1 < n else ""
-            follow = "new" if gap1 == "U" and (second.islower() or (len(word) > 1 and (second.isspace() or (second == "." and word.isalpha())))) else "same"
-        elif mark == "ell":
-            prev = next((c for c in reversed(before) if c.isalpha()), "")
-            follow = "same" if prev and nxt and nxt.isalpha() and _script(prev) == _script(nxt) else "other"
+        role = roles.get(k, ("", 0))[0] if nxt else ""
+        cls = "o" if role == "open" else "p" if role == "close" else "s" if cls == "o" and nxt in '"“' and k not in roles else cls
+        word = left_word(before)
+        tail = before.rsplit(None, 2) if word and len(word) <= 2 else ()
+        before_word = left_word(tail[-2]) if len(tail) > 1 and tail[-2] else ""
         marker = bool(mark == "dot" and not closed_quote and s - last_end < 12 and _MARKER.match(text[last_end : s + 1]))
         here = bool(closed_quote and opener >= 0 and not text[last_end:opener].strip())
-        out.append(Place(p, 0, (mark, gap1, cls, abbr, follow, "Q" if closed_quote else "B" if closed_bracket else ""), marker, here))
+        out.append(Place(p, 0, (mark, gap, cls, "Q" if closed_quote else "B" if closed_bracket else "", word, before_word, right_word(text, k) if nxt else ""), marker, here))
         last_end = p
     return out
 
 
-def _abbreviation(word: str, before: str, text: str, k: int, cls: str) -> str:
-    """What kind of abbreviation or number stands before a dot."""
-    low = word.lower()
+def _keys(p: Place) -> tuple[tuple, tuple]:
+    """What tells about an end (the word before a full stop, else the mark), and what about a start (the word after)."""
+    mark, gap, _, closed, word, _, right = p.obs
+    return ((word,) if mark == "dot" and not closed else (mark, closed)), (right, gap == "x" and right[:1].isdigit())
+
+
+def _ratios(found: Counter, of: Counter, doubt: float, most: float = 0.7) -> dict[tuple, float]:
+    """Logarithm of each key's count against what the share over all keys makes expected, at most `most`."""
+    share = sum(found.values()) / max(sum(of.values()), 1)
+    return {k: min(math.log((found[k] + doubt) / (n * share + doubt)), most) for k, n in of.items()}
+
+
+def weak_labels(texts: list[list[Place]], openers: list[str], bias: float = 2.0, doubt: float = 0.2, rounds: int = 2) -> list[list[int]]:
+    """Labels that the texts themselves give, from the places of each and its first word: 1 where a sentence ends.
+
+    At the end of a paragraph a sentence ends. Elsewhere two ratios are added: how often what stands before is found at
+    ends of paragraphs, and how often what stands after is found at their starts, each against how often it would be if
+    it ended or began sentences as often as others do. Their sum of logarithms and `bias` must be positive; `doubt` is
+    added to counts, so that rare words say little. In each further round a place that one side explains better as no
+    boundary no longer counts against the other side: a name isn't blamed for the title before it. A list number belongs
+    to what follows. A blank between two Thai letters ends a sentence, one beside a digit or another letter doesn't.
+    """
+    ends, starts = Counter(), Counter((w, False) for w in openers)
+    inner: Counter = Counter()  # pairs of what stands before and after, within paragraphs
+    for ps in texts:
+        for p in ps:
+            if p.sure:
+                starts[p.obs[1], False] += 1
+            elif p.obs[0] != "thai":
+                before, after = _keys(p)
+                if p.obs[1]:
+                    inner[before, after] += 1
+                else:
+                    ends[before] += 1
+    end: dict[tuple, float] = {}
+    start: dict[tuple, float] = {}
+    for _ in range(rounds + 1):
+        ends_all, starts_all = Counter(ends), Counter(starts)
+        for (before, after), n in inner.items():
+            e, s = end.get(before, 0.0), start.get(after, 0.0)
+            if not (s < 0 and s < e - 1):
+                ends_all[before] += n
+            if not (e < 0 and e < s - 1):
+                starts_all[after] += n
+        end, start = _ratios(ends, ends_all, doubt), _ratios(starts, starts_all, doubt)
+
+    def score(before: tuple, after: tuple) -> float:
+        e = end.get(before, 0.0)
+        if "." in before[0] and ends_all[before] < 5:  # written together with the word before: its last part is known better
+            e = min(e, end.get((before[0].rsplit(".", 1)[1],), 0.0))
+        return e + start.get(after, 0.0)
+
+    out = []
+    for ps in texts:
+        tags, prev = [], 1
+        for p in ps:
+            if p.sure or not p.obs[1]:
+                prev = 1
+            elif p.obs[0] == "thai":
+                prev = int("฀" <= p.obs[4] <= "๏" and "฀" <= p.obs[6] <= "๏")
+            elif prev and p.marker_here:
+                prev = 0
+            else:
+                prev = int(score(*_keys(p)) + bias > 0)
+            tags.append(prev)
+        out.append(tags)
+    return out
+
+
+def _shape(word: str) -> str:
+    """Digits, one letter, few letters, with an inner mark, or other."""
     if not word:
         return ""
-    if low.isdigit():
-        prev = before[: len(before) - len(word)].split()
-        nw = _NEXT_WORD.match(text, k)
-        if len(low) <= 3 and nw and nw.group() in ORDINAL_AFTER:
-            return "ordinal"
-        if len(low) <= 3 and cls == "U" and prev and prev[-1].lower() in ORDINAL_BEFORE:
-            return "ordinal"
-        return "number"
-    if low in NEVER_ENDS and not (low == "д" or low == "em" and cls == "d"):
-        return "never"
-    if low in BEFORE_NUMBER:
-        return "number-next" if cls == "d" else ("abbr-low" if low != "no" else "")
-    if len(word) <= 2 and word[0].isalpha():
-        parts = before.split()
-        if len(parts) >= 2 and parts[-2].endswith("."):
-            pair = (parts[-2][:-1].lower().lstrip("(«„“\"["), low)
-            if pair in LETTER_PAIRS_STAY:
-                return "never"
-            if pair in LETTER_PAIRS_MAY_END:
-                return "may"
-        nw = re.match(r"(\w{1,2})\.", text[k : k + 3])
-        if nw and ((low, nw.group(1).lower()) in LETTER_PAIRS_STAY or (low, nw.group(1).lower()) in LETTER_PAIRS_MAY_END):
-            return "never"
-        if len(word) == 1 and word.isupper() and cls == "U":
-            return "initial"
-    if low in MAY_END:
-        return "may"
-    return ""
-
-
-def teacher(ps: list[Place]) -> list[int]:
-    """Labels that punctuation gives away: 1 where a sentence ends."""
-    out: list[int] = []
-    prev = 1
-    for p in ps:
-        prev = _teach(p, prev)
-        out.append(prev)
-    return out
+    if word == "0":
+        return "0"
+    if "." in word:
+        return "."
+    return str(min(len(word), 4)) if word.isalpha() else "x"
 
 
-def _teach(p: Place, prev: int) -> int:
-    if p.sure or p.obs[0] == "thai":
-        return 1
-    mark, gap1, cls, abbr, follow, closed = p.obs
-    if prev and p.marker_here:
-        return 0
-    if cls == "end":
-        return 1
-    if closed == "Q":
-        if cls in "pl":
-            return 0
-        if cls == "h":
-            return 0
-        if cls == "k":
-            return 0 if prev and p.quote_here else 1
-        return 1
-    if closed == "B":
-        return 0 if cls in "p" or (cls == "l" and not (prev and p.quote_here)) else 1
-    if cls == "p" and mark != "sure":
-        return 0
-    if mark in ("sure", "gq"):
-        return 0 if mark == "sure" and cls == "p" else 1
-    if mark == "ell":
-        return 0 if cls == "l" or (cls in "kh" and follow == "same") else 1
-    if mark == "bang":
-        return 0 if gap1 in ("l", "d") else 1
-    if gap1 in ("l", "d"):
-        return 0
-    if gap1 == "U" and follow != "new":
-        return 0
-    if abbr in ("never", "ordinal", "number-next", "initial"):
-        return 0
-    if abbr in ("may", "abbr-low"):
-        return 0 if cls == "l" else 1
-    return 1
+def _place_features(mark: str, gap: str, cls: str, closed: str) -> list[str]:
+    return [f"m={mark}|{gap}|{cls}|{closed}", f"m={mark}|{cls}", f"c={closed}|{cls}", f"m={mark}|{gap}"]
+
+
+def _left_features(mark: str, gap: str, cls: str, word: str, before: str) -> list[str]:
+    s = _shape(word)
+    x = [f"s={mark}|{s}|{gap}|{cls}", f"e={mark}|{word[-3:]}"]
+    if mark not in ("dot", "thai"):
+        return x
+    if "." in word[:-1]:
+        x.append(f"l={mark}|{word.rsplit('.', 1)[1]}")
+    return [f"l={mark}|{word}", f"l={word}|{cls}", f"b={before}|{word}", *x]
+
+
+def _right_features(right: str, closed: str, gap: str) -> list[str]:
+    return [f"r={right}", f"r={right}|{closed}", f"p={right[:3]}", f"h={_shape(right)}|{gap}"]
 
 
 def _features(p: Place) -> list[str]:
-    """Observation features of a place: the whole picture, and its parts to fall back on."""
+    """Features of a place, whatever the tag before."""
     if p.sure:
         return ["sure"]
-    o = p.obs
-    if o[0] == "thai":
-        return ["thai"]
-    return ["|".join(map(str, o)), f"m={o[0]}", f"m={o[0]},n={o[2]},c={o[5]}", f"a={o[3]},n={o[2]}", f"g={o[1]},f={o[4]}", f"c={o[5]},n={o[2]}"]
+    mark, gap, cls, closed, word, before, right = p.obs
+    return _place_features(mark, gap, cls, closed) + _left_features(mark, gap, cls, word, before) + _right_features(right, closed, gap)
 
 
-def _chain_features(p: Place, prev: int, base: list[str]) -> list[str]:
-    out = [f"t={prev}"]
-    if p.quote_here:
-        out += [f"quote,{prev}", f"quote,{prev},{base[2] if len(base) > 2 else ''}"]
-    return out
+def _chain_features(p: Place, prev: int) -> list[str]:
+    """Features of a place and the tag before; a quotation right at a sentence's start is one of its own kind."""
+    return [f"t={prev}", f"q={prev}|{p.obs[2]}|{p.obs[3]}", f"q={prev}|{p.obs[6]}"] if p.quote_here else [f"t={prev}"]
 
 
-def viterbi(ps: list[Place], w: dict[str, float], gold: list[int] | None = None, margin: float = 0.0, memo: dict | None = None) -> list[int]:
-    """Best tags (1: boundary); weights score the boundary against inside.
+class Potentials:
+    """Scores of places under fixed weights, kept by part: what is seen, the word before, the word after."""
+
+    def __init__(self, w: dict[str, float]):
+        self.w = w
+        self.kept: tuple[dict, dict, dict] = ({}, {}, {})
+
+    def _part(self, n: int, make, key: tuple) -> float:
+        got = self.kept[n].get(key)
+        if got is None:
+            if len(self.kept[n]) > 500_000:
+                self.kept[n].clear()
+            got = self.kept[n][key] = sum(self.w.get(f, 0.0) for f in make(*key))
+        return got
+
+    def of(self, p: Place) -> tuple[float, float]:
+        """Score of a boundary against inside, after a tag 0 and after a tag 1."""
+        if p.sure:
+            return 0.0, 0.0
+        mark, gap, cls, closed, word, before, right = p.obs
+        b = self._part(0, _place_features, (mark, gap, cls, closed)) + self._part(1, _left_features, (mark, gap, cls, word, before)) + self._part(2, _right_features, (right, closed, gap))
+        get = self.w.get
+        return b + sum(get(f, 0.0) for f in _chain_features(p, 0)), b + sum(get(f, 0.0) for f in _chain_features(p, 1))
+
+
+def viterbi(ps: list[Place], pots: list[tuple[float, float]], gold: list[int] | None = None, margin: float = 0.0) -> list[int]:
+    """Best tags (1: boundary) by the places' potentials, of a boundary against inside after either tag.
 
     Two constraints are hard: a blank line is a boundary, and a list number right after a boundary is none.
-    With gold, every wrong tag gets `margin` on top, for training. memo keeps potentials by what is seen, for fixed weights.
+    With gold, every wrong tag gets `margin` on top, for training.
     """
     if not ps:
         return []
     NEG = float("-inf")
-    score = [NEG, 0.0]  # a text begins after a boundary
+    s0, s1 = NEG, 0.0  # a text begins after a boundary
     back: list[tuple[int, int]] = []
     for k, p in enumerate(ps):
-        seen = (p.obs, p.quote_here)
-        pot = None if memo is None else memo.get(seen)
-        if pot is None:
-            base = _features(p)
-            b = sum(w.get(f, 0.0) for f in base)
-            pot = tuple(b + sum(w.get(f, 0.0) for f in _chain_features(p, prev, base)) for prev in (0, 1))
-            if memo is not None:
-                memo[seen] = pot
+        p0, p1 = pots[k]
         outside = inside = 0.0
         if gold is not None:
             outside, inside = margin * (1 - gold[k]), margin * gold[k]
-        best = [NEG, NEG]
-        arg = [1, 1]
-        for prev in (0, 1):
-            if score[prev] == NEG:
-                continue
-            x = score[prev] + outside + pot[prev]
-            if not p.sure and score[prev] + inside > best[0]:
-                best[0], arg[0] = score[prev] + inside, prev
-            if x > best[1] and not (prev and p.marker_here):  # a list number belongs to what follows
-                best[1], arg[1] = x, prev
-        back.append((arg[0], arg[1]))
-        score = best
-    tag = 1 if score[1] >= score[0] else 0
+        a, b = s0 + outside + p0, (s1 + outside + p1 if not p.marker_here else NEG)  # a list number belongs to what follows
+        n1, from1 = (a, 0) if a > b else (b, 1)
+        n0, from0 = (NEG, 1) if p.sure else (s0 + inside, 0) if s0 > s1 else (s1 + inside, 1)
+        back.append((from0, from1))
+        s0, s1 = n0, n1
+    tag = 1 if s1 >= s0 else 0
     tags = [tag]
     for k in range(len(ps) - 1, 0, -1):
         tag = back[k][tag]
@@ -369,36 +379,35 @@ def viterbi(ps: list[Place], w: dict[str, float], gold: list[int] | None = None,
     return tags[::-1]
 
 
-def train(texts: list[str], epochs: int = 20, margin: float = 2.0) -> dict[str, float]:
-    """Averaged structured perceptron with a margin, over texts that the teacher labels."""
-    data = []
-    for t in texts:
-        ps = places(t)
-        if ps:
-            data.append((ps, teacher(ps)))
-    w: dict[str, float] = defaultdict(float)
-    total: dict[str, float] = defaultdict(float)
-    step = 1
+def train(texts: list[list[Place]], labels: list[list[int]], epochs: int = 8, margin: float = 2.0) -> dict[str, float]:
+    """Averaged structured perceptron with a margin, over the places of texts and their labels."""
+    names: dict[str, int] = {}
+    number = lambda fs: [names.setdefault(f, len(names)) for f in fs]
+    data = [([number(_features(p)) for p in ps], [(number(_chain_features(p, 0)), number(_chain_features(p, 1))) for p in ps], ps, gold) for ps, gold in zip(texts, labels) if ps]
+    w, total, step = [0.0] * len(names), [0.0] * len(names), 1
     for _ in range(epochs):
         wrong = 0
-        for ps, gold in data:
-            got = viterbi(ps, w, gold, margin)
+        for base, chain, ps, gold in data:
+            pots = []
+            for fs, (c0, c1) in zip(base, chain):
+                b = sum([w[f] for f in fs])
+                pots.append((b + sum([w[f] for f in c0]), b + sum([w[f] for f in c1])))
+            got = viterbi(ps, pots, gold, margin)
             if got != gold:
                 wrong += 1
                 pg = pr = 1
-                for p, g, r in zip(ps, gold, got):
-                    base = _features(p)
+                for fs, c, g, r in zip(base, chain, gold, got):
                     if g != r or pg != pr:
                         for tag, prev, sign in ((g, pg, 1.0), (r, pr, -1.0)):
                             if tag:
-                                for f in base + _chain_features(p, prev, base):
+                                for f in fs + c[prev]:
                                     w[f] += sign
                                     total[f] += sign * step
                     pg, pr = g, r
             step += 1
         if not wrong:
             break
-    return {f: v - total[f] / step for f, v in w.items() if v - total[f] / step}
+    return {f: w[i] - total[i] / step for f, i in names.items() if w[i] - total[i] / step}
 
 
 def strip_thai_marks(text: str) -> str:
@@ -406,12 +415,12 @@ def strip_thai_marks(text: str) -> str:
     return re.sub(r"(?<=[฀-๏])[.!?…]+(?=\s|$)", "", text)
 
 
-def sentence_spans(text: str, w: dict[str, float], memo: dict | None = None) -> list[tuple[int, int]]:
+def sentence_spans(text: str, model: Potentials) -> list[tuple[int, int]]:
     """(start, end) of every sentence in code points, without surrounding white space."""
     out = []
     start = 0
     ps = places(text)
-    for p, tag in zip(ps, viterbi(ps, w, memo=memo)):
+    for p, tag in zip(ps, viterbi(ps, [model.of(p) for p in ps])):
         if tag:
             out.append((start, p.end))
             start = p.end
@@ -427,15 +436,26 @@ def sentence_spans(text: str, w: dict[str, float], memo: dict | None = None) ->
     return spans
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, sample: int = 5000, chars: int = 4000) -> dict[str, float]:
-    """Weights trained on at most `sample` texts: those with the smallest hashes of their ids.
+def fit(docs: DataFrame, doc_id: str, text: str, sample: int = 5000, longest: int = 200_000) -> dict[str, float]:
+    """Weights trained on about `sample` whole texts, those whose ids have the smallest hashes.
 
-    The sample is bounded by these parameters whatever the corpus' size. Only training reads the first `chars`
-    characters of a sampled text; tagging reads all of every text.
+    The bounds of the training rows are these two parameters, whatever the corpus' size: texts over `longest` characters
+    are not trained on. The corpus is counted by its ids alone; the places of the sample are found by the tasks.
     """
     x = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("d is not null and t is not null and t <> ''")
-    rows = x.withColumn("t", F.substring("t", 1, chars)).orderBy(F.xxhash64("d"), "d").limit(sample).select("t").collect()
-    return train([strip_thai_marks(r.t) for r in rows])
+    n = docs.select(doc_id).where(F.col(doc_id).isNotNull()).count()
+    share = min(1.0, sample / max(n, 1))
+    chosen = x.where((F.pmod(F.xxhash64("d"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.length("t") <= longest))
+
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            ts = [strip_thai_marks(t) for t in pdf["t"]]
+            yield pd.DataFrame({"d": pdf["d"].astype(str), "p": [pickle.dumps((right_word(t, 0), places(t))) for t in ts]})
+
+    rows = sorted(spread(chosen, "d").mapInPandas(read, "d string, p binary").collect(), key=lambda r: (r.d, r.p))
+    got = [pickle.loads(r.p) for r in rows]
+    texts = [ps for _, ps in got]
+    return train(texts, weak_labels(texts, [w for w, _ in got]))
 
 
 def split_sentences(docs: DataFrame, doc_id: str, text: str, weights: dict[str, float] | None = None, sample: int = 5000) -> DataFrame:
@@ -447,9 +467,9 @@ def split_sentences(docs: DataFrame, doc_id: str, text: str, weights: dict[str,
     w = fit(docs, doc_id, text, sample) if weights is None else weights
 
     def split(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict = {}  # as many entries as there are kinds of places, a few hundred
+        model = Potentials(w)
         for pdf in it:
-            out = [(d, i, a, b) for d, t in zip(pdf["d"], pdf["t"]) for i, (a, b) in enumerate(sentence_spans(t, w, memo), 1)]
+            out = [(d, i, a, b) for d, t in zip(pdf["d"], pdf["t"]) for i, (a, b) in enumerate(sentence_spans(t, model), 1)]
             yield pd.DataFrame(out, columns=["d", "sent_no", "start_char", "end_char"])
 
     x = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")

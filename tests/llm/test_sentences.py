@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sigloom.llm import sentences as S
@@ -23,36 +25,57 @@ TEXTS = {
 
 
 @pytest.fixture(scope="module")
-def weights(spark):
-    x = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    return S.fit(x.where("doc_id % 3 <> 0"), "doc_id", "text", 1000)
+def docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
 
 
-@pytest.mark.parametrize("text", list(TEXTS))
-def test_texts(weights, text):
-    ps = S.places(text)
-    assert [text[a:b] for a, b in _spans(text, S.teacher(ps))] == TEXTS[text]
-    assert [text[a:b] for a, b in S.sentence_spans(text, weights)] == TEXTS[text]
+@pytest.fixture(scope="module")
+def weights(docs):
+    return S.fit(docs.where("doc_id % 3 <> 0"), "doc_id", "text", 5000)
 
 
-def _spans(text, tags):
-    out, start = [], 0
-    for p, t in zip(S.places(text), tags):
-        if t:
-            out.append((start, p.end))
-            start = p.end
-    out.append((start, len(text)))
-    return [(a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for a, b in out if text[a:b].strip()]
+@pytest.mark.parametrize("text", list(TEXTS))
+def test_texts(weights, text):
+    """Texts split by hand."""
+    assert [text[a:b] for a, b in S.sentence_spans(text, S.Potentials(weights))] == TEXTS[text]
 
 
-def test_held_out_accuracy(spark, weights):
+def test_held_out_accuracy(docs, weights):
+    """On texts it wasn't trained on, the model gives the labels that those texts' own paragraphs give."""
+    rows = docs.where("doc_id % 3 = 0 and text <> ''").collect()
+    texts = [S.places(r.text) for r in rows]
+    labels = S.weak_labels(texts, [S.right_word(r.text, 0) for r in rows])
+    model = S.Potentials(weights)
     bad = n = 0
-    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 3 = 0 and text is not null").collect():
-        ps = S.places(r.text)
-        got, want = S.viterbi(ps, weights), S.teacher(ps)
+    for ps, want in zip(texts, labels):
+        got = S.viterbi(ps, [model.of(p) for p in ps])
         bad += sum(a != b for a, b in zip(got, want))
         n += len(ps)
-    assert n > 3000 and bad / n < 0.002
+    assert n > 50_000 and bad / n < 0.005
+
+
+def test_labels_need_no_lists():
+    """A made-up abbreviation is learned from where it stands: before capitals, and never at a paragraph's end."""
+    rng = random.Random(0)
+    kinds = ["The qx. Abel saw it.", "Then it rained.", "Abel spoke at noon.", "Every one left!", "Was it 3.5 or 4?", "Lund went on."]
+    texts = ["\n\n".join(" ".join(rng.choices(kinds, k=rng.randint(1, 5))) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    ps = [S.places(t) for t in texts]
+    labels = S.weak_labels(ps, [S.right_word(t, 0) for t in texts])
+    for t, places, tags in zip(texts, ps, labels):
+        ends = [p.end for p, l in zip(places, tags) if l and not p.sure]
+        assert len(ends) == sum(t.count(k) for k in kinds)
+    w = S.train(ps, labels)
+    new = "The qx. Brun saw it. Lund spoke at 4.75 volts. Every one left!"
+    assert [new[a:b] for a, b in S.sentence_spans(new, S.Potentials(w))] == ["The qx. Brun saw it.", "Lund spoke at 4.75 volts.", "Every one left!"]
+
+
+def test_thai_is_learned_from_neighbouring_letters(weights):
+    """Without any mark: blanks between Thai letters part sentences, blanks beside digits and other letters don't."""
+    model = S.Potentials(weights)
+    text = "เสียงดังเกินไป ไฟล์ tone ว่าง ขั้ว 59 ช้า"
+    places = [p for p in S.places(text) if p.obs[0] == "thai"]
+    assert len(places) == 6 and len({tuple(S._features(p)) for p in places}) > 3
+    assert [text[a:b] for a, b in S.sentence_spans(text, model)] == ["เสียงดังเกินไป", "ไฟล์ tone ว่าง", "ขั้ว 59 ช้า"]
 
 
 def test_unpunctuated_training_ignores_marks():
