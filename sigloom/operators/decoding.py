@@ -103,7 +103,14 @@ def p_value(null: DataFrame, observed: DataFrame, keys: list[str], value: str, g
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights (the last is the intercept) of L2 logistic regression by Newton's method."""
+    """Weights (the last is the intercept) of L2 logistic regression by Newton's method.
+
+    With more features than rows it is fitted in the rows' space, which holds the solution.
+    """
+    if x.shape[1] > x.shape[0]:
+        u, s, v = np.linalg.svd(x, full_matrices=False)
+        w = fit_logistic(u * s, y, c, rounds)
+        return np.append(w[:-1] @ v, w[-1])
     z = np.hstack([x, np.ones((len(x), 1))])
     t = (y == 2).astype(float)
     w = np.zeros(z.shape[1])
@@ -142,32 +149,43 @@ def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
 
 
-def knn_dtw(train: np.ndarray, y: np.ndarray, test: np.ndarray, k: int) -> np.ndarray:
-    from sigloom.operators.correlation import dtw
+def dtw_distances(s: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Dynamic time warping distance of a series to each row of `many`, by anti-diagonals over all rows at once."""
+    n, m = len(s), many.shape[1]
+    c = np.full((len(many), n + 1, m + 1), np.inf)
+    c[:, 0, 0] = 0
+    d = (s[None, :, None] - many[:, None, :]) ** 2
+    for q in range(2, n + m + 1):
+        i = np.arange(max(1, q - m), min(n, q - 1) + 1)
+        j = q - i
+        c[:, i, j] = d[:, i - 1, j - 1] + np.minimum(np.minimum(c[:, i - 1, j], c[:, i, j - 1]), c[:, i - 1, j - 1])
+    return np.sqrt(c[:, n, m])
 
-    out = []
-    for s in test:
-        d = np.array([dtw(s, r)[0] for r in train])
-        near = y[np.argsort(d, kind="stable")[:k]]
-        out.append(2 if (near == 2).sum() * 2 > len(near) else 1)
-    return np.array(out)
+
+def knn_dtw(train: np.ndarray, y: np.ndarray, test: np.ndarray, k: int) -> np.ndarray:
+    near = [y[np.argsort(dtw_distances(s, train), kind="stable")[:k]] for s in test]
+    return np.array([2 if (q == 2).sum() * 2 > len(q) else 1 for q in near])
 
 
-def forest(train: np.ndarray, y: np.ndarray, test: np.ndarray, trees: int = 50, depth: int = 4, seed: int = 0) -> np.ndarray:
-    """Majority of small random trees on bootstrap samples."""
+def forest(train: np.ndarray, y: np.ndarray, test: np.ndarray, trees: int = 100, depth: int | None = None, features: str = "sqrt", seed: int = 0) -> np.ndarray:
+    """Majority of random trees on bootstrap samples, cut at quartiles."""
     rng = np.random.default_rng(seed)
-    m = max(1, int(np.sqrt(train.shape[1])))
+    m = max(1, int(np.sqrt(train.shape[1]) if features == "sqrt" else np.log2(train.shape[1])))
+
+    def gini(t: np.ndarray) -> float:
+        two = (t == 2).sum()
+        return 2 * two * (len(t) - two) / len(t)
 
     def grow(x, t, d):
-        if d == 0 or len(np.unique(t)) == 1 or len(t) < 4:
+        if d == 0 or len(t) < 2 or (t == t[0]).all():
             return float((t == 2).mean())
         best = None
         for f in rng.choice(x.shape[1], m, replace=False):
             for cut in np.quantile(x[:, f], (0.25, 0.5, 0.75)):
                 left = x[:, f] <= cut
-                if not left.any() or left.all():
+                if left.all() or not left.any():
                     continue
-                g = sum(len(s) * 2 * (s == 2).mean() * (s == 1).mean() for s in (t[left], t[~left]))
+                g = gini(t[left]) + gini(t[~left])
                 if best is None or g < best[0]:
                     best = (g, f, cut, left)
         if best is None:
@@ -183,11 +201,37 @@ def forest(train: np.ndarray, y: np.ndarray, test: np.ndarray, trees: int = 50,
     votes = np.zeros(len(test))
     for _ in range(trees):
         b = rng.integers(len(train), size=len(train))
-        node = grow(train[b], y[b], depth)
+        node = grow(train[b], y[b], depth if depth else 64)
         votes += [ask(node, s) for s in test]
     return np.where(votes / trees > 0.5, 2, 1)
 
 
+#: Settings that each classifier is tuned over. Fixed values.
+GRIDS = {
+    "logistic": [{"c": c} for c in (0.01, 0.1, 1, 10)],
+    "linear_svm": [{"c": c} for c in (0.01, 0.1, 1, 10)],
+    "rbf_svm": [{"c": c, "gamma": g} for c in (0.01, 0.1, 1, 10) for g in ("scale", "auto")],
+    "forest": [{"trees": n, "depth": d, "features": f} for n in (50, 100) for d in (None, 5, 10) for f in ("sqrt", "log2")],
+    "knn_dtw": [{"k": k} for k in (1, 3, 5)],
+}
+
+
+def classify(model: str, setting: dict, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of the rows of b by a classifier fitted on a, y."""
+    if (y == y[0]).all():
+        return np.full(len(b), y[0])
+    if model == "logistic":
+        return (predict_logistic(fit_logistic(a, y, setting["c"]), b) > 0.5) + 1
+    if model == "linear_svm":
+        return (((b @ a.T + 1) @ fit_svm(a @ a.T, y, setting["c"])) > 0) + 1
+    if model == "rbf_svm":
+        g = 1 / (a.shape[1] * max(float(a.var()), 1e-12)) if setting["gamma"] == "scale" else 1 / a.shape[1]
+        return (((rbf(b, a, g) + 1) @ fit_svm(rbf(a, a, g), y, setting["c"])) > 0) + 1
+    if model == "forest":
+        return forest(a, y, b, setting["trees"], setting["depth"], setting["features"])
+    return knn_dtw(a, y, b, setting["k"])
+
+
 def folds(n: int, k: int, seed: int) -> np.ndarray:
     """Fold number of each of n rows."""
     out = np.empty(n, dtype=int)
@@ -195,9 +239,9 @@ def folds(n: int, k: int, seed: int) -> np.ndarray:
     return out
 
 
-def tune_logistic(x: np.ndarray, y: np.ndarray, grid: tuple[float, ...], k: int = 5, seed: int = 42) -> float:
-    """The C of the grid with the best cross-validated accuracy; ties go to the smallest."""
-    f = folds(len(y), k, seed)
+def tune_logistic(x: np.ndarray, y: np.ndarray, grid: tuple[float, ...], k: int = 5, seed: int = 42, of: np.ndarray | None = None) -> float:
+    """The C of the grid with the best cross-validated accuracy (over the given folds, if any); ties go to the smallest."""
+    f = folds(len(y), k, seed) if of is None else of
     best = (-1.0, grid[0])
     for c in grid:
         hit = 0
@@ -209,120 +253,3 @@ def tune_logistic(x: np.ndarray, y: np.ndarray, grid: tuple[float, ...], k: int
         if hit / len(y) > best[0]:
             best = (hit / len(y), c)
     return best[1]
-
-
-def _matrix(pdf: pd.DataFrame, row: str, feature: str, value: str, label: str) -> tuple[np.ndarray, np.ndarray]:
-    m = pdf.pivot_table(index=row, columns=feature, values=value, aggfunc="first").fillna(0.0)
-    y = pdf.groupby(row)[label].first().reindex(m.index)
-    return m.to_numpy(float), y.to_numpy(int)
-
-
-def _schema(df: DataFrame, keys: list[str]) -> str:
-    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-
-def decode_logistic(df: DataFrame, keys: list[str], row: str, feature: str, value: str, label: str, test: str, grid: tuple[float, ...] = (0.01, 0.1, 1, 10, 100), c: float | None = None) -> DataFrame:
-    """(keys..., c, n_test, accuracy, log_loss, f1) by group: fitted where test is false, scored where true (DC5, DC7, DC8)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr, te = pdf[~pdf[test]], pdf[pdf[test]]
-        x, y = _matrix(tr, row, feature, value, label)
-        cols = tr.pivot_table(index=row, columns=feature, values=value, aggfunc="first").columns
-        xt = te.pivot_table(index=row, columns=feature, values=value, aggfunc="first").reindex(columns=cols).fillna(0.0)
-        yt = te.groupby(row)[label].first().reindex(xt.index).to_numpy(int)
-        head = [pdf[k].iloc[0] for k in keys]
-        if len(np.unique(y)) < 2 or not len(yt):
-            return pd.DataFrame([(*head, np.nan, len(yt), np.nan, np.nan, np.nan)], columns=[*keys, "c", "n_test", "accuracy", "log_loss", "f1"])
-        m, s = x.mean(0), x.std(0)
-        s = np.where(s > 0, s, 1)
-        use = c if c is not None else tune_logistic((x - m) / s, y, grid)
-        p = predict_logistic(fit_logistic((x - m) / s, y, use), (xt.to_numpy(float) - m) / s)
-        pred = (p > 0.5) + 1
-        own = np.clip(np.where(yt == 2, p, 1 - p), 1e-15, 1 - 1e-15)
-        tp = ((pred == 1) & (yt == 1)).sum()
-        f1 = 2 * tp / max((pred == 1).sum() + (yt == 1).sum(), 1)
-        return pd.DataFrame([(*head, float(use), len(yt), float((pred == yt).mean()), float(-np.log(own).mean()), float(f1))], columns=[*keys, "c", "n_test", "accuracy", "log_loss", "f1"])
-
-    return df.select(*keys, row, feature, value, label, test).groupBy(*keys).applyInPandas(run, f"{_schema(df, keys)}, c double, n_test int, accuracy double, log_loss double, f1 double")
-
-
-def temporal_generalisation(df: DataFrame, keys: list[str], row: str, t: str, feature: str, value: str, label: str, k: int = 4, seed: int = 42, c: float = 1.0) -> DataFrame:
-    """(keys..., t_train, t_test, accuracy) by k-fold (DC9, DC10): each fold is fitted once a training time and scored at all times."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf[t].unique())
-        cube = []
-        for x in ts:
-            m, y = _matrix(pdf[pdf[t] == x], row, feature, value, label)
-            cube.append(m)
-        cube = np.stack(cube)
-        f = folds(len(y), k, seed)
-        acc = np.zeros((len(ts), len(ts)))
-        for i in range(k):
-            tr, te = f != i, f == i
-            for a in range(len(ts)):
-                if len(np.unique(y[tr])) < 2:
-                    continue
-                w = fit_logistic(cube[a][tr], y[tr], c)
-                for b in range(len(ts)):
-                    acc[a, b] += ((predict_logistic(w, cube[b][te]) > 0.5) + 1 == y[te]).mean() / k
-        rows = [(*[pdf[q].iloc[0] for q in keys], int(ts[a]), int(ts[b]), float(acc[a, b])) for a in range(len(ts)) for b in range(len(ts))]
-        return pd.DataFrame(rows, columns=[*keys, "t_train", "t_test", "accuracy"])
-
-    return df.select(*keys, row, t, feature, value, label).groupBy(*keys).applyInPandas(run, f"{_schema(df, keys)}, t_train int, t_test int, accuracy double")
-
-
-def compare_models(df: DataFrame, keys: list[str], row: str, feature: str, value: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """(keys..., model, accuracy, macro_f1) by k-fold for five classifiers (DC11); models are rows of a parameter frame."""
-    spark = df.sparkSession
-    names = spark.createDataFrame([(m,) for m in ("logistic", "linear_svm", "rbf_svm", "forest", "knn_dtw")], "model string")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = _matrix(pdf, row, feature, value, label)
-        model = pdf["model"].iloc[0]
-        f = folds(len(y), k, seed)
-        pred = np.ones(len(y), dtype=int)
-        for i in range(k):
-            tr, te = f != i, f == i
-            if not te.any():
-                continue
-            if len(np.unique(y[tr])) < 2:
-                pred[te] = y[tr][0]
-                continue
-            m, s = x[tr].mean(0), x[tr].std(0)
-            s = np.where(s > 0, s, 1)
-            a, b = (x[tr] - m) / s, (x[te] - m) / s
-            if model == "logistic":
-                pred[te] = (predict_logistic(fit_logistic(a, y[tr], tune_logistic(a, y[tr], (0.1, 1, 10))), b) > 0.5) + 1
-            elif model == "linear_svm":
-                pred[te] = (((b @ a.T + 1) @ fit_svm(a @ a.T, y[tr])) > 0) + 1
-            elif model == "rbf_svm":
-                g = 1 / a.shape[1]
-                pred[te] = (((rbf(b, a, g) + 1) @ fit_svm(rbf(a, a, g), y[tr])) > 0) + 1
-            elif model == "forest":
-                pred[te] = forest(a, y[tr], b)
-            else:
-                pred[te] = knn_dtw(a, y[tr], b, 3)
-        fs = [2 * ((pred == c) & (y == c)).sum() / max((pred == c).sum() + (y == c).sum(), 1) for c in (1, 2)]
-        return pd.DataFrame([(*[pdf[q].iloc[0] for q in keys], model, float((pred == y).mean()), float(np.mean(fs)))], columns=[*keys, "model", "accuracy", "macro_f1"])
-
-    x = df.select(*keys, row, feature, value, label).crossJoin(F.broadcast(names))  # five rows
-    return x.groupBy(*keys, "model").applyInPandas(run, f"{_schema(df, keys)}, model string, accuracy double, macro_f1 double")
-
-
-def permutation_run(df: DataFrame, keys: list[str], row: str, feature: str, value: str, label: str, test: str, n: int = 100, seed: int = 0, c: float = 1.0) -> DataFrame:
-    """(keys..., perm, accuracy, log_loss): refits with the training rows' labels dealt again, n times (DC13, DC15).
-
-    perm 0 has the true labels. The reference deals them once (iter_perm=1) in each of 100 iterations, hence n's default.
-    """
-    spark = df.sparkSession
-    reps = spark.range(n + 1).select(F.col("id").cast("int").alias("perm"))
-    ids = df.where(~F.col(test)).select(*keys, row, label).distinct().crossJoin(F.broadcast(reps))
-    a = ids.select(*keys, "perm", row, F.row_number().over(Window.partitionBy(*keys, "perm").orderBy(row)).alias("_r"))
-    h = F.when(F.col("perm") == 0, F.format_string("%012d", F.col(row).cast("long"))).otherwise(hash_order(seed, "perm", row))
-    b = ids.select(*keys, "perm", F.col(label).alias("_y"), F.row_number().over(Window.partitionBy(*keys, "perm").orderBy(h, row)).alias("_r"))
-    dealt = a.join(b, [*keys, "perm", "_r"]).select(*keys, "perm", row, "_y")
-    train = df.where(~F.col(test)).drop(label).join(dealt, [*keys, row]).withColumnRenamed("_y", label)
-    held = df.where(F.col(test)).crossJoin(F.broadcast(reps))
-    both = train.select(*keys, "perm", row, feature, value, label, test).unionByName(held.select(*keys, "perm", row, feature, value, label, test))
-    return decode_logistic(both, [*keys, "perm"], row, feature, value, label, test, c=c).select(*keys, "perm", "accuracy", "log_loss")

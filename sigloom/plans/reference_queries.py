@@ -19,6 +19,7 @@ from sigloom.operators import montage as mo
 from sigloom.operators import ranking as rk
 from sigloom.operators import shaping as sh
 from sigloom.operators import spectral as sp
+from sigloom.operators import supersubject as su
 from sigloom.session import broadcast_if_small, table
 from sigloom.sources import views as v
 from sigloom.sources.views import with_views as W
@@ -1003,7 +1004,7 @@ def pca_explained(spark, d):
 
 @query()
 def group_pca(spark, d):
-    """LA3, DC3: all subjects' channels in one matrix; the Gram matrix is time x time."""
+    """LA3: all subjects' channels in one matrix; the Gram matrix is time x time."""
     x = _concat(spark, d).withColumn("one", F.lit(1)).withColumn("gch", (F.col("subj") * 8 + F.col("ch_idx")).cast("int"))
     return r(la.pca(x, ["one"], "gch", "tt", "value")[0], "weight").drop("one")
 
@@ -1029,44 +1030,135 @@ def nmf_components(spark, d):
     return r(la.nmf(_concat(spark, d), ["subj"], "ch_idx", "tt", "value"), "weight", "error")
 
 
-def _pseudo(spark, d):
-    """Pseudo-trials of all subjects with one held-out trial a condition (DC3, DC4)."""
-    x = v.trial_signal(spark, d)
-    h = broadcast_if_small(rk.hold_out(x.select("subj", "cond", "trial").distinct(), ["subj", "cond"], ["subj", "trial"], 42))
-    train = dc.pad(x.join(h, ["subj", "cond", "trial"], "left_anti"), "subj", "cond", "trial", ["ch_idx", "t_idx"], "value")
-    a = train.groupBy("cond", "slot", "t_idx", "ch_idx").agg(F.avg("value").alias("value")).withColumn("held", F.lit(False))
-    b = x.join(h, ["subj", "cond", "trial"], "left_semi").groupBy("cond", "t_idx", "ch_idx").agg(F.avg("value").alias("value")).select("cond", F.lit(0).alias("slot"), "t_idx", "ch_idx", "value", F.lit(True).alias("held"))
-    return a.unionByName(b).withColumn("row", ((F.col("cond") - 1) * 100 + F.col("slot")).cast("int"))
+#: Iterations of the decoding runs, each with its own held-out trials; the reference's number.
+ITERATIONS = 100
+
+
+def _super(spark, d, iterations=ITERATIONS, **kw):
+    """Series, hold-outs, features and PCA weights of the super-subject (DC3)."""
+    s = su.trial_series(v.trial_signal(spark, d))
+    h = su.hold_outs(s, iterations)
+    return s, h, *su.super_features(s, h, **kw)
+
+
+_BOTH = """, e AS (SELECT subj FROM (SELECT DISTINCT subj, cond, trial FROM ts) GROUP BY subj HAVING count(*) FILTER (cond = 1) >= 2 AND count(*) FILTER (cond = 2) >= 2),
+h AS (SELECT CAST(i AS INTEGER) AS iter, subj, cond, arg_min(trial, md5(i || '|' || subj || '|' || trial)) AS trial FROM (SELECT DISTINCT subj, cond, trial FROM ts JOIN e USING (subj)), range({n}) r(i) GROUP BY ALL)"""
+
+
+@query(W("ts") + _BOTH.format(n=ITERATIONS) + " SELECT * FROM h")
+def super_hold_outs(spark, d):
+    """DC3: the trials that each iteration holds out."""
+    return su.hold_outs(su.trial_series(v.trial_signal(spark, d)), ITERATIONS)
+
+
+@query(
+    W("ts", "wt") + _GW + _BOTH.format(n=3)
+    + """, u AS (SELECT DISTINCT iter, ts.subj, ts.cond, ts.trial FROM ts JOIN e USING (subj), range(3) r(iter)), l AS (SELECT u.* FROM u ANTI JOIN h ON u.iter = h.iter AND u.subj = h.subj AND u.cond = h.cond AND u.trial = h.trial),
+o AS (SELECT *, row_number() OVER (PARTITION BY iter, subj, cond ORDER BY trial) AS slot FROM l), n AS (SELECT iter, subj, cond, least(count(*), 23) AS n FROM o GROUP BY ALL),
+m AS (SELECT iter, subj, cond, ch_idx, t_idx, avg(value) AS value FROM l JOIN ts USING (subj, cond, trial) GROUP BY ALL),
+x AS (SELECT iter, subj, cond, slot - 1 + 23 * (cond - 1) AS row, ch_idx, t_idx, value FROM o JOIN ts USING (subj, cond, trial) WHERE slot <= 23
+ UNION ALL SELECT n.iter, n.subj, n.cond, s - 1 + 23 * (n.cond - 1), ch_idx, t_idx, value FROM n JOIN m USING (iter, subj, cond), generate_series(1, 23) g(s) WHERE s > n
+ UNION ALL SELECT iter, subj, cond, 45 + cond, ch_idx, t_idx, value FROM h JOIN ts USING (subj, cond, trial))
+SELECT CAST(iter AS INTEGER) AS iter, CAST(compo - 1 AS INTEGER) AS compo, CAST(row AS INTEGER) AS row, t_idx, round(sum(weight * value), 4) AS score FROM x JOIN gw USING (ch_idx) GROUP BY ALL"""
+)
+def super_given_weights(spark, d):
+    """DC1, DC3: pseudo-trials and held-out trials of three iterations, projected with given weights."""
+    s = su.trial_series(v.trial_signal(spark, d))
+    given = {}
+    for w in _given_weights(spark, d).collect():  # eight channels of three components
+        given.setdefault(w.ch_idx, [0.0] * 3)[w.compo - 1] = w.weight
+    f, _ = su.super_features(s, su.hold_outs(s, 3), given=given)
+    return r(f.select("iter", "compo", "row", F.posexplode("series").alias("t_idx", "score")), "score", to=4)
+
+
+@query()
+def super_weights(spark, d):
+    """DC3: the group PCA's weights of every iteration, by subject."""
+    return _super(spark, d)[3].where("perm = 0").select("iter", "compo", "subj", F.posexplode("weights").alias("channel", "weight"), "real_share")
 
 
 @query()
 def decode_lr(spark, d):
-    """DC5: one model a channel, features are time points."""
-    return r(dc.decode_logistic(_pseudo(spark, d), ["ch_idx"], "row", "t_idx", "value", "cond", "held"), "accuracy", "log_loss", "f1")
+    """DC5, DC6: one model an iteration and component, features are time points; one refit with shuffled labels in each."""
+    return r(su.decode_iterations(_super(spark, d)[2], perms=1), "accuracy", "log_loss", "p2_1", "p2_2")
+
+
+@query()
+def decode_lr_summary(spark, d):
+    """DC5, CC4: by component, with the stability of its weights over iterations."""
+    _, _, f, w = _super(spark, d)
+    runs = su.decode_iterations(f)
+    # each iteration predicts one trial of either condition, so hits and predictions of label 1 give the F1
+    hit1, pred1 = F.sum((F.col("pred_1") == 1).cast("int")), F.sum((F.col("pred_1") == 1).cast("int") + (F.col("pred_2") == 1).cast("int"))
+    s = runs.groupBy("compo").agg(
+        F.count("*").cast("int").alias("nb_iter"), (2 * hit1 / (F.count("*") + pred1)).alias("f1"), F.avg("accuracy").alias("accuracy"), F.avg("log_loss").alias("log_loss"),
+        pred1.alias("predicted_1"), (2 * F.count("*") - pred1).alias("predicted_2"),
+    )
+    truth = w.where("perm = 0").groupBy("compo").agg(F.avg("real_share").alias("trial_truth"))
+    return r(s.join(F.broadcast(su.stability(w)), "compo").join(F.broadcast(truth), "compo"), "f1", "accuracy", "log_loss", "mean_cor", "trial_truth")  # one row a component
 
 
 @query()
 def decode_per_time(spark, d):
-    """DC7, DC8: one model a time point, features are channels."""
-    return r(dc.decode_logistic(_pseudo(spark, d), ["t_idx"], "row", "ch_idx", "value", "cond", "held"), "accuracy", "log_loss", "f1")
+    """DC7: one model a time point and component, over all iterations."""
+    return r(su.decode_times(_super(spark, d)[2]), "accuracy", "accuracy_std")
+
+
+@query()
+def decode_per_time_components(spark, d):
+    """DC8: one model a time point, features are the three components."""
+    return r(su.decode_times(_super(spark, d, pca="mean")[2], together=True), "accuracy", "accuracy_std")
+
+
+@query()
+def decode_per_time_raw(spark, d):
+    """DC8, DC4: one model a time point, features are all subjects' channels."""
+    s = su.trial_series(v.trial_signal(spark, d))
+    return r(su.decode_times_raw(s, su.hold_outs(s, ITERATIONS)), "accuracy", "accuracy_std")
 
 
 @query()
 def temporal_generalisation(spark, d):
-    """DC9, DC10."""
-    return r(dc.temporal_generalisation(_pseudo(spark, d).withColumn("one", F.lit(1)), ["one"], "row", "t_idx", "ch_idx", "value", "cond"), "accuracy").drop("one")
+    """DC9: fitted at one time, scored at all, by four folds and component."""
+    return r(su.generalisation(su.component_rows(_super(spark, d, 1)[2]), ["compo"], 4), "accuracy")
+
+
+@query()
+def temporal_generalisation_raw(spark, d):
+    """DC10, DC4: the same with all subjects' channels and five folds."""
+    s = su.trial_series(v.trial_signal(spark, d))
+    return r(su.generalisation(su.raw_rows(s, su.hold_outs(s, 1)), [], 5), "accuracy")
 
 
 @query()
 def compare_classifiers(spark, d):
-    """DC11."""
-    return r(dc.compare_models(_pseudo(spark, d), ["ch_idx"], "row", "t_idx", "value", "cond"), "accuracy", "macro_f1")
+    """DC11: five tuned classifiers in every iteration, on the first component."""
+    return r(su.compare_models(_super(spark, d)[2].where("compo = 0")), "accuracy", "macro_f1")
+
+
+@query()
+def compare_classifiers_summary(spark, d):
+    """DC12: mean and deviation by classifier, true labels beside shuffled ones."""
+    f = _super(spark, d)[2].where("compo = 0")
+    both = su.compare_models(f).withColumn("labels", F.lit("true")).unionByName(su.compare_models(f, shuffled=True).withColumn("labels", F.lit("shuffled")))
+    s = both.groupBy("model", "labels").agg(F.avg("accuracy").alias("acc_mean"), F.stddev_pop("accuracy").alias("acc_std"), F.avg("macro_f1").alias("f1_mean"), F.stddev_pop("macro_f1").alias("f1_std"))
+    return r(s, "acc_mean", "acc_std", "f1_mean", "f1_std")
+
+
+@query()
+def permutation_distribution(spark, d):
+    """DC13: accuracy and entropy of repeated runs, true labels beside shuffled ones; a repeat is a block of iterations."""
+    runs = su.decode_iterations(_super(spark, d, 3 * ITERATIONS)[2].where("compo = 0"), perms=1)
+    by = runs.withColumn("repeat", F.floor(F.col("iter") / ITERATIONS).cast("int")).groupBy("repeat", "perm").agg(F.avg("accuracy").alias("accuracy"), F.avg("log_loss").alias("entropy"))
+    pick = lambda j, c: F.max(F.when(F.col("perm") == j, F.col(c)))
+    return r(by.groupBy("repeat").agg(pick(0, "accuracy").alias("acc"), pick(1, "accuracy").alias("acc_p"), pick(0, "entropy").alias("entropy"), pick(1, "entropy").alias("entropy_p")), "acc", "acc_p", "entropy", "entropy_p")
 
 
 @query()
 def permutation_final(spark, d):
-    """DC13, DC15: all channels, with the reference's number of permutations."""
-    return r(dc.permutation_run(_pseudo(spark, d), ["ch_idx"], "row", "t_idx", "value", "cond", "held"), "accuracy", "log_loss")
+    """DC15: z-scaled features, group PCA and labels of the permuted run both dealt again, in every iteration and component."""
+    f = _super(spark, d, perms=1)[2]
+    return r(su.decode_iterations(f, perms=1, refit_pca=True, scale=True), "accuracy", "log_loss", "p2_1", "p2_2")
 
 
 def _series(spark, d):
