@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 CONDITIONS = {1: "old/correct", 2: "new/correct", 101: "old/incorrect", 102: "new/incorrect", 201: "old/null", 202: "new/null"}
 # fixed values: centre frequencies (Hz) and their bandwidths
 FREQS = [0.5, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 17, 19, 21, 24, 27, 30, 35, 40, 45, 50, 55, 60, 70, 80, 90, 100, 110, 120, 130, 140, 150, 160, 180]
-BANDWIDTHS = [0.5, *[1] * 13, *[2] * 4, *[3] * 3, *[5] * 6, *[10] * 10, 20]
+BANDWIDTHS = [0.5, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 5, 5, 5, 5, 5, 5, 10, 10, 10, 10, 10, 10, 10, 10, 10, 10, 20]
 # fixed values: bands and their member frequencies; edges belong to two bands
 BANDS = {
     "delta": [0.5, 1, 2, 3, 4],

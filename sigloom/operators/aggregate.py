@@ -64,9 +64,9 @@ def minmax(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, keys: list[str] = ()) -> DataFrame:
-    """(keys..., bin, n) of equal bins over [low, high]; the last bin is closed (AG17)."""
-    b = F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / ((high - low) / bins))).cast("int")
-    return df.where(F.col(value).between(low, high)).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
+    """(keys..., bin, n) of equal bins over [low, high] (AG17); values below or above count in the first or last bin."""
+    b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(value) - low) / ((high - low) / bins)))).cast("int")
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.session import broadcast_if_small
+
 
 def savgol_weights(width: int = 15, order: int = 3) -> list[float]:
     """Convolution weights of a Savitzky-Golay smoother."""
@@ -43,4 +45,4 @@ def peak_delay(df: DataFrame, key: str, idx: str, value: str, reference: str, he
 
 def align(df: DataFrame, delays: DataFrame, key: str, idx: str) -> DataFrame:
     """Index moved by the absolute delay (TS12)."""
-    return df.join(F.broadcast(delays.select(key, "delay")), key).withColumn(idx, F.col(idx) - F.abs("delay")).where(F.col(idx) >= 0).drop("delay")
+    return df.join(broadcast_if_small(delays.select(key, "delay")), key).withColumn(idx, F.col(idx) - F.abs("delay")).where(F.col(idx) >= 0).drop("delay")

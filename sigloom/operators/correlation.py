@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from sigloom.session import broadcast_if_small
 
 
+#: Ranges of values within which average_rank() orders.
+RANK_RANGES = 4096
+
+
 def lag_correlation(pair: DataFrame, keys: list[str], idx: str, x: str, y: str, lags: range, wrap: bool = False) -> DataFrame:
     """(keys..., lag, corr, n): Pearson correlation of x with y moved by every lag (CC1).
 
@@ -20,7 +24,7 @@ def lag_correlation(pair: DataFrame, keys: list[str], idx: str, x: str, y: str,
     moved = pair.select(*keys, F.col(y).alias("_y"), F.col(idx).alias("_j"), dim.alias("lag"))
     if wrap:
         n = pair.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else pair.agg(F.count("*").alias("_n"))
-        moved = moved.join(F.broadcast(n), keys) if keys else moved.crossJoin(F.broadcast(n))  # one row
+        moved = moved.join(broadcast_if_small(n), keys) if keys else moved.crossJoin(F.broadcast(n))  # one row
         moved = moved.withColumn("_i", F.pmod(F.col("_j") + F.col("lag"), F.col("_n")).cast("int"))
     else:
         moved = moved.withColumn("_i", (F.col("_j") + F.col("lag")).cast("int"))
@@ -36,10 +40,21 @@ def best_lag(corrs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Ranks from 1, ties sharing their mean (CC4)."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ties = Window.partitionBy(*keys, value)
-    return df.withColumn(out, F.rank().over(w) + (F.count("*").over(ties) - 1) / F.lit(2.0))
+    """Ranks from 1, ties sharing their mean (CC4).
+
+    Values are cut into equal ranges of each group and counted within a range; ranges are offset by the counts of those
+    before. So no group is sorted as a whole, and equal values are one row before they are ordered.
+    """
+    n = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    at = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANK_RANGES)
+    n = n.join(broadcast_if_small(ends), keys).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.coalesce(at, F.lit(RANK_RANGES))).otherwise(0).cast("int"))
+    n = n.withColumn("_b", F.when(F.isnan(F.col(value).cast("double")), RANK_RANGES + 1).otherwise(F.col("_b")))
+    by = n.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+    by = by.select(*keys, "_b", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).alias("_before"))
+    within = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy(value)) - F.col("_c")
+    ranks = n.withColumn("_in", within).join(broadcast_if_small(by), [*keys, "_b"]).select(*keys, value, (F.col("_before") + F.col("_in") + (F.col("_c") + 1) / F.lit(2.0)).alias(out))
+    return df.join(ranks, [*keys, value])
 
 
 def spearman(df: DataFrame, series: str, idx: str, value: str, keys: list[str] = (), include_self: bool = False) -> DataFrame:

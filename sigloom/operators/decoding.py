@@ -93,7 +93,7 @@ def permuted_labels(df: DataFrame, id_: str, y: str, n: int, seed: int = 0, widt
 def p_value(null: DataFrame, observed: DataFrame, keys: list[str], value: str, greater: bool = True) -> DataFrame:
     """(keys..., raw, corrected): share of null values at least (at most) as extreme, and (1 + count) / (1 + n) (DC17)."""
     o = observed.select(*keys, F.col(value).alias("_o"))
-    x = null.join(F.broadcast(o), keys) if keys else null.crossJoin(F.broadcast(o))  # one row a key
+    x = null.join(broadcast_if_small(o), keys) if keys else null.crossJoin(F.broadcast(o))  # one row without keys
     hit = (F.col(value) >= F.col("_o")) if greater else (F.col(value) <= F.col("_o"))
     c, n = F.sum(hit.cast("int")), F.count("*")
     return x.groupBy(*keys).agg((c / n).alias("raw"), ((c + 1) / (n + 1)).alias("corrected")) if keys else x.agg((c / n).alias("raw"), ((c + 1) / (n + 1)).alias("corrected"))

@@ -74,10 +74,11 @@ def pca(df: DataFrame, keys: list[str], channel: str, idx: str, value: str, k: i
     return components, scores, eig.select(*keys, "compo", "ratio")
 
 
-def nmf(df: DataFrame, keys: list[str], channel: str, idx: str, value: str, k: int = 3, rounds: int = 300) -> DataFrame:
-    """(keys..., compo, channel, weight, error): NMF of min-max scaled channels (LA4), one Arrow call a group.
+def nmf(df: DataFrame, keys: list[str], channel: str, idx: str, value: str, k: int = 3, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(components, scores) of the NMF of min-max scaled channels (LA4), one Arrow call a group.
 
-    Multiplicative updates from a fixed start, so results repeat; error is the relative reconstruction error.
+    components (keys..., compo, channel, weight, error), scores (keys..., compo, idx, score). Multiplicative updates from
+    a fixed start, so results repeat; error is the relative reconstruction error.
     """
     vec = as_series(df, [*keys, channel], idx, value)
 
@@ -92,11 +93,13 @@ def nmf(df: DataFrame, keys: list[str], channel: str, idx: str, value: str, k: i
             h *= (w.T @ x) / (w.T @ w @ h + 1e-12)
             w *= (x @ h.T) / (w @ h @ h.T + 1e-12)
         err = float(np.linalg.norm(x - w @ h) / max(np.linalg.norm(x), 1e-12))
-        rows = [(*[pdf[n].iloc[0] for n in keys], c + 1, ch, float(h[c, i]), err) for c in range(k) for i, ch in enumerate(pdf[channel])]
-        return pd.DataFrame(rows, columns=[*keys, "compo", channel, "weight", "error"])
+        head = [pdf[n].iloc[0] for n in keys]
+        return pd.DataFrame([(*head, c + 1, err, pdf[channel].tolist(), h[c].tolist(), w[:, c].tolist()) for c in range(k)], columns=[*keys, "compo", "error", "_ch", "_h", "_w"])
 
-    ks = ", ".join(f"{n} {vec.schema[n].dataType.simpleString()}" for n in [*keys])
-    return vec.groupBy(*keys).applyInPandas(run, f"{ks}, compo int, {channel} {vec.schema[channel].dataType.simpleString()}, weight double, error double")
+    ks = ", ".join(f"{n} {vec.schema[n].dataType.simpleString()}" for n in keys)
+    got = vec.groupBy(*keys).applyInPandas(run, f"{ks}, compo int, error double, _ch array<{vec.schema[channel].dataType.simpleString()}>, _h array<double>, _w array<double>")
+    each = got.select(*keys, "compo", "error", F.explode(F.arrays_zip("_ch", "_h")).alias("_p"))
+    return each.select(*keys, "compo", F.col("_p._ch").alias(channel), F.col("_p._h").alias("weight"), "error"), got.select(*keys, "compo", F.posexplode("_w").alias(idx, "score"))
 
 
 def project(df: DataFrame, weights: DataFrame, on: list[str], out: list[str], value: str, weight: str = "weight") -> DataFrame:

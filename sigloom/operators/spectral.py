@@ -126,18 +126,64 @@ def resampled(series: DataFrame, keys: list[str], ratio: float) -> DataFrame:
     return _series_kernel(series, keys, lambda x: [(resample(x, max(1, round(len(x) * ratio))).tolist(),)], f"{_key_schema(series, keys)}, series array<double>")
 
 
-def fir_filter(x: np.ndarray, fs: float, high_pass: float | None = None, notches: list[float] = (), width: float = 1.0) -> np.ndarray:
-    """High-pass and notches with a smooth transition, in the frequency domain, on the series mirrored in its end points (TS3)."""
-    y = np.concatenate([2 * x[0] - x[:0:-1], x, 2 * x[-1] - x[-2::-1]])
-    f = np.fft.rfftfreq(len(y), 1 / fs)
-    gain = np.ones_like(f)
+def _low_pass(cut: float, fs: float, n: int) -> np.ndarray:
+    """Hamming-windowed sinc of n (odd) taps, of unit gain at 0."""
+    k = np.arange(n) - n // 2
+    h = 2 * cut / fs * np.sinc(2 * cut / fs * k) * np.hamming(n)
+    return h / h.sum()
+
+
+def fir_taps(fs: float, high_pass: float | None = None, notches: list[float] = ()) -> list[np.ndarray]:
+    """Linear-phase FIR filters, one for the high-pass and one a notch, to be applied in turn (TS3).
+
+    A filter has 3.3 / transition seconds of taps. The high-pass has a transition as wide as its edge (at most 2 Hz,
+    centred half of it below); a notch is its frequency / 200 wide, with transitions of 1 Hz.
+    """
+    odd = lambda width: int(np.ceil(3.3 / width * fs)) // 2 * 2 + 1
+    out = []
     if high_pass:
-        gain *= np.clip((f - high_pass / 2) / (high_pass / 2), 0, 1)
-    for h in notches:
-        gain *= np.clip(np.abs(f - h) / width - 0.5, 0, 1)
-    return np.fft.irfft(np.fft.rfft(y) * gain, len(y))[len(x) - 1 : 2 * len(x) - 1]
+        width = min(max(0.25 * high_pass, 2.0), high_pass)
+        n = odd(width)
+        h = -_low_pass(high_pass - width / 2, fs, n)
+        h[n // 2] += 1
+        out.append(h)
+    for f in notches:
+        n = odd(1.0)
+        half = f / 400 + 0.5
+        h = -_low_pass(min(f + half, fs / 2), fs, n) + _low_pass(f - half, fs, n)
+        h[n // 2] += 1
+        out.append(h)
+    return out
+
+
+def fir_apply(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Zero-phase filtering: the series is mirrored in its end points as often as the taps need, and convolved by FFT."""
+    if len(x) < 2:
+        return x.copy()
+    half, period = len(taps) // 2, 2 * (len(x) - 1)
+    # position i of the mirrored series: a walk to and fro, which falls by twice the end value at each turn past it
+    i = np.arange(-half, len(x) + half)
+    turn, at = np.divmod(i, period)
+    back = at >= len(x)
+    y = np.where(back, 2 * x[-1] - x[np.where(back, period - at, at)], x[np.where(back, period - at, at)]) + turn * 2 * (x[-1] - x[0])
+    m = len(y) + len(taps) - 1
+    return np.fft.irfft(np.fft.rfft(y, m) * np.fft.rfft(taps, m), m)[2 * half : 2 * half + len(x)]
+
+
+def fir_filter(x: np.ndarray, fs: float, high_pass: float | None = None, notches: list[float] = ()) -> np.ndarray:
+    """A series through fir_taps() in turn (TS3)."""
+    for taps in fir_taps(fs, high_pass, notches):
+        x = fir_apply(x, taps)
+    return x
 
 
 def filtered(series: DataFrame, keys: list[str], fs: float, high_pass: float | None = None, notches: list[float] = ()) -> DataFrame:
-    """(keys..., series) after fir_filter()."""
-    return _series_kernel(series, keys, lambda x: [(fir_filter(x, fs, high_pass, notches).tolist(),)], f"{_key_schema(series, keys)}, series array<double>")
+    """(keys..., series) after fir_filter(); the taps are made once."""
+    all_taps = fir_taps(fs, high_pass, notches)
+
+    def run(x: np.ndarray) -> list[tuple]:
+        for taps in all_taps:
+            x = fir_apply(x, taps)
+        return [(x.tolist(),)]
+
+    return _series_kernel(series, keys, run, f"{_key_schema(series, keys)}, series array<double>")

@@ -494,11 +494,12 @@ def name_parts(spark, d):
     return table(spark, d, "coords").where("channel is not null").select("channel", a.alias("anode"), mo.shaft(a).alias("shaft")).distinct()
 
 
-@query("SELECT row_id, channel, weight FROM (UNPIVOT (SELECT row_id, ch_00, ch_01, ch_02 FROM grp_concat_compo_pca3) ON ch_00, ch_01, ch_02 INTO NAME channel VALUE weight)")
+@query("SELECT row_id, channel, weight FROM (UNPIVOT (SELECT row_id, COLUMNS('ch_[0-9]+') FROM grp_concat_compo_pca3) ON COLUMNS(* EXCLUDE row_id) INTO NAME channel VALUE weight)")
 def unpivot_weights(spark, d):
     """FLT19: wide channels to long rows; null weights give none."""
-    x = table(spark, d, "grp_concat_compo_pca3").select("row_id", "ch_00", "ch_01", "ch_02")
-    return x.unpivot("row_id", ["ch_00", "ch_01", "ch_02"], "channel", "weight").where("weight is not null")
+    x = table(spark, d, "grp_concat_compo_pca3")
+    channels = sorted(c for c in x.columns if c.startswith("ch_"))
+    return x.select("row_id", *channels).unpivot("row_id", channels, "channel", "weight").where("weight is not null")
 
 
 # ---- aggregation ----
@@ -555,7 +556,7 @@ def signed_region_sums(spark, d):
     return r(ag.signed_sums(v.weights(spark, d), ["area", "compo"], "w"), "sum_all", "sum_pos", "sum_neg", to=4)
 
 
-@query(W("wt") + "SELECT compo, CAST(least(19, floor((w + 4) / 0.4)) AS INTEGER) AS bin, count(*) AS n FROM wt WHERE w BETWEEN -4 AND 4 GROUP BY ALL")
+@query(W("wt") + "SELECT compo, CAST(greatest(0, least(19, floor((w + 4) / 0.4))) AS INTEGER) AS bin, count(*) AS n FROM wt GROUP BY ALL")
 def weight_histogram(spark, d):
     """AG17."""
     return ag.histogram(v.weights(spark, d), "w", -4.0, 4.0, 20, ["compo"])
@@ -680,13 +681,12 @@ def shared_label_bands(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT vec_id AS k, label AS l, embedding AS v FROM embeddings), d AS (SELECT a.k, a.l, b.l AS l2, avg(sqrt(list_sum(list_transform(generate_series(1, 8), lambda i: (CAST(a.v[i] AS DOUBLE) - CAST(b.v[i] AS DOUBLE)) ** 2)))) AS d FROM p a JOIN p b ON a.k <> b.k GROUP BY ALL),
+    """WITH p AS (SELECT vec_id AS k, label AS l, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.k, a.l, b.l AS l2, avg(list_distance(a.v, b.v)) AS d FROM p a JOIN p b ON a.k <> b.k GROUP BY ALL),
 s AS (SELECT k, max(d) FILTER (l = l2) AS a, min(d) FILTER (l <> l2) AS b FROM d GROUP BY k) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 5) AS silhouette FROM s"""
 )
 def silhouette(spark, d):
-    """CL8 on the first eight weights, with the given labels."""
-    x = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).alias("v"))
-    return r(cl.silhouette(x, "vec_id", "v", "label"), "silhouette")
+    """CL8, with the given labels."""
+    return r(cl.silhouette(table(spark, d, "embeddings"), "vec_id", "embedding", "label"), "silhouette")
 
 
 def _group_weights(spark, d):
@@ -760,11 +760,17 @@ def spearman_matrix(spark, d):
     return r(_rhos(spark, d, self=True), "rho")
 
 
-@query(_RANK.format(op="<=") + " SELECT round(sum(CASE WHEN i = j THEN rho ELSE 2 * rho END) / count(DISTINCT i) ** 2, 5) AS mean_rho FROM c")
+@query(
+    W("ts")
+    + """, k AS (SELECT subj, trial, ch_idx * 8 + t_idx AS i, rank() OVER (PARTITION BY subj, trial ORDER BY value) + (count(*) OVER (PARTITION BY subj, trial, value) - 1) / 2.0 AS r FROM ts),
+c AS (SELECT a.subj, a.trial AS i, b.trial AS j, corr(a.r, b.r) AS rho FROM k a JOIN k b ON a.subj = b.subj AND a.i = b.i AND a.trial <= b.trial GROUP BY ALL)
+SELECT subj, round(sum(CASE WHEN i = j THEN rho ELSE 2 * rho END) / count(DISTINCT i) ** 2, 5) AS mean_rho FROM c GROUP BY subj"""
+)
 def trial_spearman_mean(spark, d):
-    """CC6: mean of the full matrix, diagonal included."""
-    x = _rhos(spark, d, self=True)
-    return r(x.agg((F.sum(F.when(F.col("i") == F.col("j"), F.col("rho")).otherwise(2 * F.col("rho"))) / F.countDistinct("i") ** 2).alias("mean_rho")), "mean_rho")
+    """CC6: mean of the full matrix of a subject's trials, diagonal included."""
+    x = v.trial_signal(spark, d).withColumn("i", F.col("ch_idx") * 8 + F.col("t_idx"))
+    c = cc.spearman(x, "trial", "i", "value", ["subj"], include_self=True)
+    return r(c.groupBy("subj").agg((F.sum(F.when(F.col("i") == F.col("j"), F.col("rho")).otherwise(2 * F.col("rho"))) / F.countDistinct("i") ** 2).alias("mean_rho")), "mean_rho")
 
 
 @query(
@@ -857,6 +863,13 @@ SQL["pad_pooled"] = unsigned_zeros(_SLOT + _REAL + "SELECT g.subj, g.cond, CAST(
 SQL["pad_duplicate"] = unsigned_zeros(_SLOT + " SELECT g.subj, g.cond, CAST(g.slot AS INTEGER) AS slot, ch_idx, t_idx, round(value, 5) AS value, g.slot <= n AS is_real FROM g JOIN x ON x.subj = g.subj AND x.cond = g.cond AND x.slot = (g.slot - 1) % n + 1")
 
 
+@query(W("ts") + "SELECT subj, cond, count(DISTINCT trial) AS n_trials, greatest(count(DISTINCT trial) - 23, 0) AS n_beyond FROM ts GROUP BY ALL")
+def slot_overflow(spark, d):
+    """DC1: trials of each condition, and those beyond its slots, which padding leaves out."""
+    n = F.countDistinct("trial")
+    return v.trial_signal(spark, d).groupBy("subj", "cond").agg(n.alias("n_trials"), F.greatest(n - 23, F.lit(0)).alias("n_beyond"))
+
+
 @query(_SLOT + " SELECT subj, cond, round(avg(CASE WHEN slot <= n THEN 1.0 ELSE 0.0 END), 5) AS real_share FROM g GROUP BY ALL")
 def truth_share(spark, d):
     """AG14."""
@@ -966,10 +979,11 @@ def subject_status(spark, d):
     return g.select("subj", F.when(F.col("n_rec") == 0, "no events").when(F.col("n") < 24, "too few events").otherwise("ok").alias("status"))
 
 
-@query(W("wt") + "SELECT band, compo, round(sum(w * cos(2 * pi() * gch / 500)), 3) AS x, round(sum(w * sin(2 * pi() * gch / 500)), 3) AS y FROM wt GROUP BY ALL")
+@query(W("wt") + "SELECT band, compo, round(sum(w * cos(2 * pi() * gch / n)), 4) AS x, round(sum(w * sin(2 * pi() * gch / n)), 4) AS y FROM wt, (SELECT count(DISTINCT gch) AS n FROM wt) GROUP BY ALL")
 def polar_sums(spark, d):
     """LA9, FG: angle-weighted sums behind the polar views."""
-    return r(la.polar(v.weights(spark, d), ["band", "compo"], "gch", "w", 500), "x", "y", to=3)
+    w = v.weights(spark, d)
+    return r(la.polar(w, ["band", "compo"], "gch", "w", w.select("gch").distinct().count()), "x", "y", to=4)
 
 
 # ---- models: checked by invariants in the tests ----
@@ -1027,7 +1041,13 @@ def pca_trajectory(spark, d):
 @query()
 def nmf_components(spark, d):
     """LA4."""
-    return r(la.nmf(_concat(spark, d), ["subj"], "ch_idx", "tt", "value"), "weight", "error")
+    return r(la.nmf(_concat(spark, d), ["subj"], "ch_idx", "tt", "value")[0], "weight", "error")
+
+
+@query()
+def nmf_scores(spark, d):
+    """LA4: the components over time."""
+    return r(la.nmf(_concat(spark, d), ["subj"], "ch_idx", "tt", "value")[1], "score")
 
 
 #: Iterations of the decoding runs, each with its own held-out trials; the reference's number.
@@ -1184,13 +1204,33 @@ def notch_filter(spark, d):
     return sp.filtered(_series(spark, d), ["vec_id"], 600.0, 0.1, sh.line_harmonics(300.0, 50.0)).select("vec_id", F.posexplode("series").alias("t_idx", "value")).withColumn("value", F.round("value", 5))
 
 
-@query()
-def peak_delay(spark, d):
-    """TS11: delays of the first series against vector 0."""
+_PEAK = """WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS file, CAST(p - 1 AS INTEGER) AS i, CAST(embedding[p] AS DOUBLE) AS a FROM embeddings, generate_series(1, 64) g(p)),
+s AS (SELECT file, i, (-3 * lag(a, 2) OVER w + 12 * lag(a) OVER w + 17 * a + 12 * lead(a) OVER w - 3 * lead(a, 2) OVER w) / 35 AS a FROM e WINDOW w AS (PARTITION BY file ORDER BY i)),
+r AS (SELECT arg_max(i, a) AS ref_peak, max(a) AS ref_value FROM s WHERE file = '0'), x AS (SELECT *, lag(a) OVER w AS b, lead(a) OVER w AS c FROM s WINDOW w AS (PARTITION BY file ORDER BY i)),
+g AS (SELECT file, ref_peak, min(CASE WHEN a > b AND a > c AND a >= ref_value - 1 THEN i END) AS peak FROM x, r GROUP BY ALL),
+d AS (SELECT file, peak, CASE WHEN abs(ref_peak - peak) < 2 THEN 0 ELSE ref_peak - peak END AS delay FROM g)"""
+
+
+def _peaks(spark, d):
     from sigloom.operators import audio
 
     x = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("file"), F.posexplode("embedding").alias("i", "a")).withColumn("a", F.col("a").cast("double"))
-    return audio.peak_delay(audio.savgol(x, ["file"], "i", "a", 5, 2), "file", "i", "a", "0", tolerance=1.0, least=2)
+    return x, audio.peak_delay(audio.savgol(x, ["file"], "i", "a", 5, 2), "file", "i", "a", "0", tolerance=1.0, least=2)
+
+
+@query(_PEAK + " SELECT file, peak, delay FROM d")
+def peak_delay(spark, d):
+    """TS11: delays of every series against vector 0, after smoothing."""
+    return _peaks(spark, d)[1]
+
+
+@query(_PEAK + " SELECT file, i - abs(delay) AS i, round(a, 5) AS a FROM e JOIN d USING (file) WHERE i - abs(delay) >= 0")
+def aligned_series(spark, d):
+    """TS12: every series moved by its delay."""
+    from sigloom.operators import audio
+
+    x, delays = _peaks(spark, d)
+    return r(audio.align(x, delays, "file", "i"), "a").select("file", "i", "a")
 
 
 # ---- further projections and sources ----
@@ -1211,21 +1251,28 @@ def select_channels(spark, d):
     return r(x.join(broadcast_if_small(picks), ["subj", "ch_idx"], "left_semi"), "value").select("subj", "trial", "ch_idx", "t_idx", "value")
 
 
-@query("SELECT DISTINCT coord_id, channel AS contact, round(x * 1000, 4) AS x_um, round(y * 1000, 4) AS y_um, round(z * 1000, 4) AS z_um FROM coords WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND abs(x) < 1000")
+_POSITIONED = "x is not null and y is not null and z is not null"
+
+
+@query(f"SELECT DISTINCT coord_id, channel AS contact, x * 1000 AS x_um, y * 1000 AS y_um, z * 1000 AS z_um FROM coords WHERE {_POSITIONED}")
 def derive_columns(spark, d):
     """FLT10, FLT11: rename, drop, scale."""
-    x = table(spark, d, "coords").where("x is not null and y is not null and z is not null and abs(x) < 1000")
-    return r(x.select("coord_id", F.col("channel").alias("contact"), *[(F.col(c) * 1000).alias(f"{c}_um") for c in "xyz"]).distinct(), "x_um", "y_um", "z_um", to=4)
+    x = table(spark, d, "coords").where(_POSITIONED)
+    return x.select("coord_id", F.col("channel").alias("contact"), *[(F.col(c) * 1000).alias(f"{c}_um") for c in "xyz"]).distinct()
 
 
-@query("SELECT coord_id, x, y, z FROM (SELECT DISTINCT coord_id, TRY_CAST(regexp_extract_all(p, '[-+]?\\d+\\.\\d+')[1] AS DOUBLE) AS x, TRY_CAST(regexp_extract_all(p, '[-+]?\\d+\\.\\d+')[2] AS DOUBLE) AS y, TRY_CAST(regexp_extract_all(p, '[-+]?\\d+\\.\\d+')[3] AS DOUBLE) AS z FROM (SELECT coord_id, '<point | contact : (' || x || ', ' || y || ', ' || z || ') mm>' AS p FROM coords WHERE abs(x) BETWEEN 0.01 AND 1000 AND abs(y) BETWEEN 0.01 AND 1000 AND abs(z) BETWEEN 0.01 AND 1000))")
+_NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
+
+
+@query(
+    f"SELECT DISTINCT coord_id, TRY_CAST(n[1] AS DOUBLE) AS x, TRY_CAST(n[2] AS DOUBLE) AS y, TRY_CAST(n[3] AS DOUBLE) AS z FROM (SELECT coord_id, regexp_extract_all('<point | contact : (' || x || ', ' || y || ', ' || z || ') mm>', '{_NUMBER}') AS n FROM coords WHERE {_POSITIONED})"
+)
 def printed_points(spark, d):
-    """SRC10: coordinates read back from printed points."""
+    """SRC10: coordinates read back from printed points, small and large ones with an exponent."""
     from sigloom.sources.readers import decimals
 
-    c = table(spark, d, "coords").where("abs(x) between 0.01 and 1000 and abs(y) between 0.01 and 1000 and abs(z) between 0.01 and 1000")
     p = F.concat(F.lit("<point | contact : ("), F.col("x").cast("string"), F.lit(", "), F.col("y").cast("string"), F.lit(", "), F.col("z").cast("string"), F.lit(") mm>"))
-    return c.select("coord_id", *decimals(p)).distinct()
+    return table(spark, d, "coords").where(_POSITIONED).select("coord_id", *decimals(p)).distinct()
 
 
 @query("SELECT DISTINCT freq, regexp_extract('TFR_' || freq || '_all.parquet', 'TFR_(.+)_all', 1) AS band FROM grp_concat_compo_pca3 WHERE freq IS NOT NULL AND regexp_full_match(freq, '[a-z_]+')")
@@ -1250,7 +1297,35 @@ def preprocess_pipeline(spark, d):
     """OR1: raw signal to condition means by band, one job over all subjects."""
     from sigloom.plans import pipeline
 
-    return r(pipeline.preprocess(*pipeline.raw_views(spark, d)), "value")
+    return r(pipeline.condition_means(pipeline.preprocess(*pipeline.raw_views(spark, d))), "value")
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT CAST(vec_id // 25 AS INTEGER) AS subj FROM embeddings), a(onset, code) AS (VALUES (0.12, 1), (0.28, 102), (0.44, 1))
+SELECT subj, CAST(row_number() OVER (PARTITION BY subj ORDER BY onset) - 1 AS INTEGER) AS trial, CAST(onset AS DOUBLE) AS onset, code FROM s, a"""
+)
+def pipeline_trials(spark, d):
+    """OR1, FLT1, JN1-JN3: the stimuli of the raw recording with their outcomes (right, wrong, no answer)."""
+    from sigloom.plans import pipeline
+
+    _, _, _, annotations, s = pipeline.raw_views(spark, d)
+    return pipeline.trials_of(annotations, s)
+
+
+@query(
+    """WITH c AS (SELECT CAST(vec_id // 25 AS INTEGER) AS subj, CAST(vec_id % 25 AS INTEGER) AS ch, CAST(p - 1 AS INTEGER) AS sample, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings, generate_series(1, 64) g(p) WHERE p - 1 >= 2 AND p - 1 <= 64),
+n AS (SELECT *, chr(65 + ch // 3) || (ch % 3 + 1) AS name FROM c WHERE ch < 24) SELECT a.subj, a.name || '_' || b.name AS pair, a.sample, round(a.v - b.v, 5) AS value
+FROM n a JOIN n b ON a.subj = b.subj AND a.sample = b.sample AND b.ch = a.ch + 1 AND b.ch // 3 = a.ch // 3 WHERE a.ch % 10 <> 9 AND b.ch % 10 <> 9"""
+)
+def pipeline_montage(spark, d):
+    """OR1, SRC4, FLT2, FLT4, JN6: the recording of the kept types, cropped about its stimuli, in bipolar pairs without flagged ends."""
+    from sigloom.plans import pipeline
+
+    *raw, s = pipeline.raw_views(spark, d)
+    from dataclasses import replace
+
+    x = pipeline.cleaned(*raw, replace(s, new_fs=s.fs, high_pass=None, line=1e9)).select("subj", "pair", "start", F.posexplode("series").alias("i", "value"))
+    return r(x.select("subj", "pair", (F.round(F.col("start") * s.fs) + F.col("i")).cast("int").alias("sample"), "value"), "value")
 
 
 @query()
@@ -1263,42 +1338,51 @@ def subject_pipeline_report(spark, d):
 
 @query()
 def cluster_profile(spark, d):
-    """CL9: clusters by area."""
+    """CL9: clusters by area, and by subject (25 channels each)."""
     x = cl.select_clusters(_group_weights(spark, d), ["band"], "gch", ["c1", "c2", "c3"], "kmeans")
     areas = table(spark, d, "embeddings").select(F.col("vec_id").alias("gch"), F.col("label").alias("area"))
-    return x.join(broadcast_if_small(areas), "gch").groupBy("band", "cluster", "area").agg(F.count("*").alias("n"))
+    y = x.join(broadcast_if_small(areas), "gch")
+    by_area = y.groupBy("band", "cluster", F.lit("area").alias("kind"), F.col("area").cast("bigint").alias("of")).agg(F.count("*").alias("n"))
+    return by_area.unionByName(y.groupBy("band", "cluster", F.lit("subject").alias("kind"), F.expr("gch div 25").alias("of")).agg(F.count("*").alias("n")))
 
 
-# ---- the whole job of queries whose SQL is fixed on a part ----
+# ---- sources and sinks: written to the shared folder and read back ----
 
 
-@query()
-def silhouette_whole(spark, d):
-    """CL8 on the whole vectors."""
-    x = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
-    return r(cl.silhouette(x, "vec_id", "v", "label"), "silhouette")
+def _folder(spark) -> str:
+    from sigloom.session import shared_folder
 
+    return shared_folder(spark)
 
-@query()
-def unpivot_weights_whole(spark, d):
-    """FLT19 on every channel."""
-    x = table(spark, d, "grp_concat_compo_pca3")
-    channels = sorted(c for c in x.columns if c.startswith("ch_"))
-    return x.select("row_id", *channels).unpivot("row_id", channels, "channel", "weight").where("weight is not null")
 
+@query("SELECT channel, x, y, z, subj FROM coords WHERE channel IS NOT NULL AND subj IS NOT NULL")
+def csv_round_trip(spark, d):
+    """SNK3, SRC5, FLT13: positions as CSV files with a surplus leading column, and read back without it."""
+    from sigloom.sources import readers
 
-@query()
-def derive_columns_whole(spark, d):
-    """FLT10, FLT11 on every row with a position."""
-    x = table(spark, d, "coords").where("x is not null and y is not null and z is not null")
-    return r(x.select("coord_id", F.col("channel").alias("contact"), *[(F.col(c) * 1000).alias(f"{c}_um") for c in "xyz"]).distinct(), "x_um", "y_um", "z_um", to=4)
+    path = _folder(spark)
+    c = table(spark, d, "coords").where("channel is not null and subj is not null")
+    readers.write_csv(c.select(F.col("coord_id").alias("_c0"), "channel", "x", "y", "z", "subj"), path)
+    return readers.normalise_coords(spark, path)
 
 
-@query()
-def printed_points_whole(spark, d):
-    """SRC10 on every row with a position, small and large ones printed with an exponent."""
-    from sigloom.sources.readers import decimals
+@query("SELECT rec_id, CAST(t AS INTEGER) - 1 AS trial, event_id[t] AS code FROM (SELECT rec_id, event_id, unnest(generate_series(1, len(event_id))) AS t FROM info WHERE event_id IS NOT NULL)")
+def json_round_trip(spark, d):
+    """SNK2, SRC6: trial codes as JSON and read back."""
+    from sigloom.sources import readers
 
-    c = table(spark, d, "coords").where("x is not null and y is not null and z is not null")
-    p = F.concat(F.lit("<point | contact : ("), F.col("x").cast("string"), F.lit(", "), F.col("y").cast("string"), F.lit(", "), F.col("z").cast("string"), F.lit(") mm>"))
-    return c.select("coord_id", *decimals(p)).distinct()
+    path = _folder(spark)
+    readers.write_json(table(spark, d, "info").where("event_id is not null").select("rec_id", "event_id"), path)
+    return spark.read.schema("rec_id bigint, event_id array<string>").json(path).select("rec_id", F.posexplode("event_id").alias("trial", "code"))
+
+
+@query(W("ts") + "SELECT subj, trial, ch_idx, t_idx, round(value, 5) AS value FROM ts")
+def tensor_round_trip(spark, d):
+    """SNK1, SNK4, SRC7: signals as Parquet by subject; a second, guarded write adds only the subjects that are missing."""
+    from sigloom.sources import readers
+
+    path = _folder(spark)
+    x = v.trial_signal(spark, d).select("subj", "trial", "ch_idx", "t_idx", "value")
+    readers.write_tensors(x.where("subj % 2 = 0"), path, "subj")
+    readers.write_missing(x, path, "subj")
+    return r(spark.read.parquet(path), "value").select("subj", "trial", "ch_idx", "t_idx", "value")

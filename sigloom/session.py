@@ -42,14 +42,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; set here only where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session; set here only where it is unset in local mode."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = f"/tmp/sigloom-checkpoint-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/sigloom-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts the lineage by writing df as a Parquet table into the shared folder and reading it back.
 
@@ -57,9 +67,8 @@ def materialise(df: DataFrame) -> DataFrame:
     when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sigloom-{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out

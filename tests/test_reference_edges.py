@@ -3,6 +3,7 @@
 import wave
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import dims
@@ -88,7 +89,7 @@ def test_nmf_reconstructs(spark):
     rng = np.random.default_rng(1)
     x = (rng.random((8, 2)) @ rng.random((2, 30)))
     df = spark.createDataFrame([(1, c, t, float(x[c, t])) for c in range(8) for t in range(30)], "e int, ch int, t int, v double")
-    assert la.nmf(df, ["e"], "ch", "t", "v").first().error < 0.1
+    assert la.nmf(df, ["e"], "ch", "t", "v")[0].first().error < 0.1
 
 
 def test_morlet_peaks_at_its_frequency_and_filters():
@@ -101,6 +102,52 @@ def test_morlet_peaks_at_its_frequency_and_filters():
     assert sh.line_harmonics(300, 50) == [50, 100, 150, 200, 250]
 
 
+def test_fir_equals_direct_convolution_and_has_its_gains():
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 40, 200):
+        x, taps = rng.normal(size=n), rng.normal(size=31)
+        mirrored = np.pad(x, 15, mode="reflect", reflect_type="odd")
+        assert np.allclose(sp.fir_apply(x, taps), np.convolve(mirrored, taps, mode="valid"))
+    assert np.allclose(sp.fir_apply(np.array([2.0]), np.ones(3)), [2.0])
+    high, notch = sp.fir_taps(600.0, 0.1, [50.0])
+    assert len(high) == 19801 and len(notch) == 1981
+    gain = lambda h, f: abs(np.sum(h * np.exp(-2j * np.pi * f / 600 * np.arange(len(h)))))
+    assert gain(high, 0) < 1e-6 and abs(gain(high, 0.5) - 1) < 0.01 and abs(gain(high, 100) - 1) < 0.01
+    assert gain(notch, 50) < 0.02 and all(abs(gain(notch, f) - 1) < 0.01 for f in (0, 47, 53, 200))
+
+
+def test_silhouette_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, l = rng.normal(size=(90, 5)), rng.integers(0, 4, 90)
+    l[0] = 9  # a cluster of one
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, l))], "k int, v array<double>, l int")
+    for block in (2048, 25):
+        monkeypatch.setattr(cl, "SILHOUETTE_BLOCK", block)
+        assert abs(cl.silhouette(df, "k", "v", "l").first()[0] - cl.silhouette_np(x, l)) < 1e-9
+
+
+def test_group_guard(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(40, 2)) * 0.1 + c for c in ([0, 0], [5, 5], [0, 5])])
+    df = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(x)], "g string, i int, a double, b double")
+    whole = {r.i: r.cluster for r in cl.select_clusters(df, ["g"], "i", ["a", "b"], "kmeans").collect()}
+    monkeypatch.setattr(cl, "GROUP_ROWS", 60)
+    part = {r.i: r.cluster for r in cl.select_clusters(df, ["g"], "i", ["a", "b"], "kmeans").collect()}
+    assert len(part) == 120 and len({(whole[i], part[i]) for i in whole}) == 3
+    for method in ("ward", "spectral"):
+        with pytest.raises(ValueError):
+            cl.select_clusters(df, ["g"], "i", ["a", "b"], method)
+
+
+def test_average_rank_of_ties_nulls_and_infinities(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", v) for v in (3.0, 1.0, 1.0, -2.0, 3.0, 3.0)] + [("b", 5.0)] * 3 + [("c", v) for v in (1.0, inf, -inf, nan, nan, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = sorted((r.k, str(r.v), r.r) for r in cc.average_rank(df, ["k"], "v", "r").collect())
+    want = [("a", "-2.0", 1.0), ("a", "1.0", 2.5), ("a", "1.0", 2.5), *[("a", "3.0", 5.0)] * 3, *[("b", "5.0", 2.0)] * 3, ("c", "-inf", 1.0), ("c", "1.0", 2.0), ("c", "2.0", 3.0), ("c", "inf", 4.0), *[("c", "nan", 5.5)] * 2]
+    assert got == sorted(want)
+
+
 def test_dtw():
     d, path = cc.dtw(np.array([0.0, 1, 2]), np.array([0.0, 0, 1, 2]))
     assert d == 0 and path[0] == (0, 0) and path[-1] == (2, 3)
