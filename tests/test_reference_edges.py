@@ -229,15 +229,14 @@ def test_streaming_forms(spark, tmp_path):
     assert [(r.v, r.n) for r in spark.table("live_means").collect()] == [(2.0, 2)]
 
 
-def test_decoding_queries_cover_all_channels(spark):
+def test_decoding_queries_cover_all_iterations(spark):
     from sigloom.plans import reference_queries as rq
     from tests.conftest import SF
 
-    channels = {x.ch_idx for x in rq._pseudo(spark, SF).select("ch_idx").distinct().collect()}
     models = rq.compare_classifiers(spark, SF).collect()
-    assert {(x.ch_idx, x.model) for x in models} == {(c, m) for c in channels for m in ("logistic", "linear_svm", "rbf_svm", "forest", "knn_dtw")}
+    assert {(x.iter, x.model) for x in models} == {(i, m) for i in range(100) for m in dc.GRIDS} and len(models) == 500
     runs = rq.permutation_final(spark, SF).collect()
-    assert len(runs) == len(channels) * 101 and {(x.ch_idx, x.perm) for x in runs} == {(c, p) for c in channels for p in range(101)}
+    assert {(x.compo, x.iter, x.perm) for x in runs} == {(c, i, p) for c in range(3) for i in range(100) for p in range(2)} and len(runs) == 600
 
 
 def test_whole_queries_leave_nothing_out(spark):
@@ -246,14 +245,14 @@ def test_whole_queries_leave_nothing_out(spark):
 
     e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     want = cl.silhouette_np(np.array(e["embedding"].tolist(), dtype=float), e["label"].to_numpy())
-    assert abs(rq.silhouette_whole(spark, SF).first()[0] - want) < 1e-4
+    assert abs(rq.silhouette(spark, SF).first()[0] - want) < 1e-4
     w = spark.read.parquet(f"{SF}/grp_concat_compo_pca3.parquet").toPandas()
-    assert rq.unpivot_weights_whole(spark, SF).count() == int(w.filter(like="ch_").notna().to_numpy().sum())
+    assert rq.unpivot_weights(spark, SF).count() == int(w.filter(like="ch_").notna().to_numpy().sum())
     c = spark.read.parquet(f"{SF}/coords.parquet").dropna(subset=["x", "y", "z"]).select("coord_id", "x", "y", "z").distinct()
     points = {tuple(x) for x in c.collect()}
     assert any(abs(v) >= 1000 for p in points for v in p[1:]) and any(abs(v) < 0.01 for p in points for v in p[1:])
-    assert {tuple(x) for x in rq.printed_points_whole(spark, SF).collect()} == points
-    derived = {(x.coord_id, x.x_um, x.y_um, x.z_um) for x in rq.derive_columns_whole(spark, SF).collect()}
+    assert {tuple(x) for x in rq.printed_points(spark, SF).collect()} == points
+    derived = {(x.coord_id, x.x_um, x.y_um, x.z_um) for x in rq.derive_columns(spark, SF).collect()}
     assert {x[0] for x in derived} == {p[0] for p in points} and max(abs(x[1]) for x in derived) >= 1e6
     one = spark.createDataFrame([("<point : (1.5E-4, -2.0E7, 3.25) mm>",)], "p string").select(*readers.decimals(F.col("p"))).first()
     assert tuple(one) == (1.5e-4, -2e7, 3.25)
