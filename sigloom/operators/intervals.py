@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.session import materialise
+
 #: Shards of one block of the carry.
 BLOCK = 1024
 
@@ -34,7 +36,7 @@ def coverage(df: DataFrame, entity: str, start: Column, end: Column, shard: int
     """
     x = df.select(F.col(entity).alias("ent"), start.alias("s"), end.alias("e")).where(F.col("ent").isNotNull() & (F.col("e") > F.col("s")))
     # before any sort, one row for each start: an (entity, shard) then holds at most `shard` rows, however hot it is
-    x = x.groupBy("ent", F.floor(F.col("s") / shard).cast("bigint").alias("b"), "s").agg(F.max("e").alias("e"))
+    x = materialise(x.groupBy("ent", F.floor(F.col("s") / shard).cast("bigint").alias("b"), "s").agg(F.max("e").alias("e")))
 
     # within the shard: the starts of its islands, with the furthest end before them; ends may reach over the shard's end
     w = Window.partitionBy("ent", "b").orderBy("s")

@@ -1001,6 +1001,26 @@ def pca_components(spark, d):
     return r(la.pca(_concat(spark, d), ["subj"], "ch_idx", "tt", "value")[0], "weight")
 
 
+@query(W("ts") + ", s AS (SELECT DISTINCT subj FROM ts) SELECT subj, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END::DOUBLE AS dot FROM s, generate_series(1, 3) i(a), generate_series(1, 3) j(b)")
+def pca_orthogonality(spark, d):
+    """LA1: the components' weights are of unit length and at right angles."""
+    w = la.pca(_concat(spark, d), ["subj"], "ch_idx", "tt", "value")[0]
+    a = w.select("subj", "ch_idx", F.col("compo").alias("a"), F.col("weight").alias("wa"))
+    b = w.select("subj", "ch_idx", F.col("compo").alias("b"), F.col("weight").alias("wb"))
+    return r(a.join(b, ["subj", "ch_idx"]).groupBy("subj", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot")), "dot")
+
+
+@query(
+    W("ts")
+    + """, m AS (SELECT subj, ch_idx, (cond - 1) * 8 + t_idx AS tt, avg(value) AS v FROM ts GROUP BY ALL), c AS (SELECT subj, ch_idx, v - avg(v) OVER (PARTITION BY subj, ch_idx) AS v FROM m)
+SELECT subj, round(sum(v * v), 4) AS variance FROM c GROUP BY subj"""
+)
+def pca_total_variance(spark, d):
+    """LA1, LA10: all components' squared scores add up to the centred channels' sum of squares."""
+    s = la.pca(_concat(spark, d), ["subj"], "ch_idx", "tt", "value", 8)[1]
+    return r(s.groupBy("subj").agg(F.sum(F.col("score") ** 2).alias("variance")), "variance", to=4)
+
+
 @query()
 def pca_scores(spark, d):
     """LA1."""
@@ -1185,17 +1205,27 @@ def _series(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("series"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT vec_id, CAST(p - 1 AS INTEGER) AS i, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings, generate_series(1, 64) g(p)), f AS (SELECT * FROM (VALUES (0, 10.0::DOUBLE), (1, 20.0::DOUBLE), (2, 40.0::DOUBLE)) t(freq_idx, f)),
+s AS (SELECT freq_idx, f, 4.0 / (2 * pi() * f) AS s FROM f), k AS (SELECT freq_idx, f, s, CAST(u AS INTEGER) AS u, exp(-((u / 200.0) ** 2) / (2 * s * s)) AS g FROM s, generate_series(-400, 400) r(u) WHERE abs(u) <= ceil(5 * s * 200)),
+n AS (SELECT freq_idx, sqrt(0.5) * sqrt(sum(g * g)) AS norm FROM k GROUP BY 1),
+w AS (SELECT freq_idx, u, g / norm * cos(2 * pi() * f * u / 200.0) AS re, g / norm * sin(2 * pi() * f * u / 200.0) AS im FROM k JOIN n USING (freq_idx))
+SELECT vec_id, CAST(freq_idx AS INTEGER) AS freq_idx, CAST(t AS INTEGER) AS t_idx, round(sum(v * re) ** 2 + sum(v * im) ** 2, 5) AS power FROM e, generate_series(0, 63) r(t) JOIN w ON w.u = t - e.i GROUP BY ALL"""
+)
 def morlet_power(spark, d):
     """SP1: each vector as a series at 200 Hz."""
     fs = [10.0, 20.0, 40.0]
-    return sp.tfr(_series(spark, d), ["vec_id"], 200.0, fs, [4.0] * 3).select("vec_id", "freq_idx", F.posexplode("power").alias("t_idx", "power")).withColumn("power", F.round("power", 5))
+    return r(sp.tfr(_series(spark, d), ["vec_id"], 200.0, fs, [4.0] * 3).select("vec_id", "freq_idx", F.posexplode("power").alias("t_idx", "power")), "power")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT vec_id, p - 1 AS i, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings, generate_series(1, 64) g(p)),
+k AS (SELECT i, j, (1 + sum(2 * cos(2 * pi() * q * (j / 21.0 - i / 64.0)))) / 64 AS w FROM generate_series(0, 63) a(i), generate_series(0, 20) b(j), generate_series(1, 10) c(q) GROUP BY ALL)
+SELECT vec_id, CAST(j AS INTEGER) AS t_idx, round(sum(v * w), 5) AS value FROM e JOIN k USING (i) GROUP BY ALL"""
+)
 def resample_fft(spark, d):
     """TS2: to a third of the points."""
-    return sp.resampled(_series(spark, d), ["vec_id"], 1 / 3).select("vec_id", F.posexplode("series").alias("t_idx", "value")).withColumn("value", F.round("value", 5))
+    return r(sp.resampled(_series(spark, d), ["vec_id"], 1 / 3).select("vec_id", F.posexplode("series").alias("t_idx", "value")), "value")
 
 
 @query()
