@@ -145,7 +145,22 @@ p AS (SELECT cohort, event_id, greatest(coalesce(min_keep, 0), CAST(round(target
 x AS (SELECT p.cohort, p.event_id, CAST(p.need AS BIGINT) AS need, CAST(coalesce(a.n, 0) AS BIGINT) AS n_available FROM p LEFT JOIN a ON p.cohort = a.cohort AND CAST(p.event_id AS BIGINT) = a.c)
 """
 
+# all pairs of a group and the closure of its links: for small tables
+_P1 = r"""
+WITH RECURSIVE t AS (SELECT *, lower(trim(compo)) AS c, regexp_replace(lower(trim(freq)), '[^\p{L}]', '', 'g') AS f FROM grp_concat_compo_pca3),
+k AS (SELECT *, CASE WHEN regexp_matches(c, '[0-9]') THEN regexp_replace(regexp_extract(c, '[0-9]+'), '^0+([0-9])', '\1') ELSE nullif(regexp_replace(c, '[^\p{L}]', '', 'g'), '') END AS comp,
+  nullif(regexp_extract(f, '(delta|theta|alpha|beta|gamma)', 1), '') AS root, regexp_replace(regexp_replace(f, 'delta|theta|alpha|beta|gamma', '', 'g'), 'band|range|freq(uency)?', '', 'g') AS side FROM t),
+g AS (SELECT *, comp || '|' || CASE WHEN root IS NULL THEN nullif(f, '') WHEN regexp_full_match(side, 'h|hi|high|upper') THEN 'high_' || root WHEN regexp_full_match(side, 'l|lo|low|lower') THEN 'low_' || root
+  WHEN side <> '' THEN side || '_' || root ELSE root END AS grp FROM k),
+r AS (SELECT DISTINCT row_id, grp, COLUMNS('ch_[0-9]+') FROM g WHERE grp IS NOT NULL),
+l AS (UNPIVOT r ON COLUMNS('ch_[0-9]+') INTO NAME ch VALUE w),
+e AS (SELECT a.row_id AS a, b.row_id AS b FROM l a JOIN l b ON a.grp = b.grp AND a.ch = b.ch AND a.row_id < b.row_id GROUP BY ALL HAVING sum(a.w ** 2) * sum(b.w ** 2) > 0 AND abs(sum(a.w * b.w)) >= 0.9 * sqrt(sum(a.w ** 2) * sum(b.w ** 2))),
+b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+x AS (SELECT DISTINCT a AS v, a AS o FROM b UNION SELECT b.b, x.o FROM x JOIN b ON b.a = x.v WHERE x.o < b.b)
+SELECT min(o) AS row_id_a, v AS row_id_b FROM x GROUP BY v HAVING min(o) <> v"""
+
 SQL = {
+    "p1_found": _P1,
     "p4_found": _P4 + "SELECT cohort, event_id FROM x WHERE need > n_available",
     "p4_deficits": _P4 + "SELECT cohort, event_id, need, n_available, least(need, n_available) AS taken, need - least(need, n_available) AS deficit FROM x",
     # the trials of a plan row with the smallest positions, as the operator draws them
