@@ -37,7 +37,7 @@ PAIR = {"«": "»", "„": "“”\"", "「": "」", "『": "』", "（": "）",
 BRACKETS = "（([【"
 _TOKEN = re.compile(
     r"(?P<blank>(?:\r\n|[\n\r \x85])[^\S\n\r \x85]*(?:(?:\r\n|[\n\r \x85])\s*)+| \s*)"
-    rf"|(?P<end>(?:[.…{MARKS}])+)|(?P<gq>[{GREEK_QUESTION}])|(?P<q>[{re.escape(OPEN + CLOSE)}“”\"])"
+    rf"|(?P<end>(?!(?<=\d)\.(?=\d))[.…{MARKS}]+)|(?P<gq>[{GREEK_QUESTION}])|(?P<q>[{re.escape(OPEN + CLOSE)}“”\"])"
     r"|(?P<thai>(?<=[฀-๏])[^\S\n\r \x85]+(?=[^\W_])|(?<=[^\W_])[^\S\n\r \x85]+(?=[฀-๏]))"
 )
 #: Characters that are seen by nobody and part nothing (Unicode category Cf).
@@ -59,7 +59,8 @@ def left_word(before: str) -> str:
     if not w.isascii():
         m = _LEFT.search(w)
         w = (m.group(1) or w[-2:]) if m else w[-2:]
-    return _DIGITS.sub("0", w.lower().lstrip(_LATE))
+    w = w.lower()
+    return w if w.isalpha() else _DIGITS.sub("0", w.lstrip(_LATE))
 
 
 def right_word(text: str, at: int) -> str:
@@ -125,7 +126,7 @@ def _matched(tokens: list, text: str) -> dict[int, tuple[str, int]]:
 
 
 def places(text: str) -> list[Place]:
-    """Every place of a text where a sentence may end, with what can be seen around it."""
+    """Every place of a text where a sentence may end, with what can be seen around it. A dot between digits is none."""
     tokens = list(_TOKEN.finditer(text))
     roles = _matched(tokens, text)
     out: list[Place] = []
@@ -226,7 +227,7 @@ def _ratios(found: Counter, of: Counter, doubt: float, most: float = 0.7) -> dic
     return {k: min(math.log((found[k] + doubt) / (n * share + doubt)), most) for k, n in of.items()}
 
 
-def weak_labels(texts: list[list[Place]], openers: list[str], bias: float = 2.0, doubt: float = 0.2, rounds: int = 2) -> list[list[int]]:
+def weak_labels(texts: list[list[Place]], openers: list[str], bias: float = 2.6, doubt: float = 0.2, rounds: int = 2) -> list[list[int]]:
     """Labels that the texts themselves give, from the places of each and its first word: 1 where a sentence ends.
 
     At the end of a paragraph a sentence ends. Elsewhere two ratios are added: how often what stands before is found at
@@ -331,6 +332,7 @@ class Potentials:
     def __init__(self, w: dict[str, float]):
         self.w = w
         self.kept: tuple[dict, dict, dict] = ({}, {}, {})
+        self.plain = tuple(w.get(f"t={prev}", 0.0) for prev in (0, 1))
 
     def _part(self, n: int, make, key: tuple) -> float:
         got = self.kept[n].get(key)
@@ -346,6 +348,8 @@ class Potentials:
             return 0.0, 0.0
         mark, gap, cls, closed, word, before, right = p.obs
         b = self._part(0, _place_features, (mark, gap, cls, closed)) + self._part(1, _left_features, (mark, gap, cls, word, before)) + self._part(2, _right_features, (right, closed, gap))
+        if not p.quote_here:
+            return b + self.plain[0], b + self.plain[1]
         get = self.w.get
         return b + sum(get(f, 0.0) for f in _chain_features(p, 0)), b + sum(get(f, 0.0) for f in _chain_features(p, 1))
 
@@ -436,7 +440,7 @@ def sentence_spans(text: str, model: Potentials) -> list[tuple[int, int]]:
     return spans
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, sample: int = 5000, longest: int = 200_000) -> dict[str, float]:
+def fit(docs: DataFrame, doc_id: str, text: str, sample: int = 8000, longest: int = 200_000) -> dict[str, float]:
     """Weights trained on about `sample` whole texts, those whose ids have the smallest hashes.
 
     The bounds of the training rows are these two parameters, whatever the corpus' size: texts over `longest` characters
@@ -458,7 +462,7 @@ def fit(docs: DataFrame, doc_id: str, text: str, sample: int = 5000, longest: in
     return train(texts, weak_labels(texts, [w for w, _ in got]))
 
 
-def split_sentences(docs: DataFrame, doc_id: str, text: str, weights: dict[str, float] | None = None, sample: int = 5000) -> DataFrame:
+def split_sentences(docs: DataFrame, doc_id: str, text: str, weights: dict[str, float] | None = None, sample: int = 8000) -> DataFrame:
     """(doc_id, sent_no, start_char, end_char): the sentences of every document, numbered from 1 in text order.
 
     Offsets count code points, the end is exclusive. Together the sentences cover all characters that are not white
