@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.session import broadcast_if_small
+from sigloom.session import broadcast_if_small, materialise
 
 #: Points of one block of silhouette().
 SILHOUETTE_BLOCK = 2048
@@ -189,10 +189,10 @@ def select_clusters(df: DataFrame, keys: list[str], id_: str, cols: list[str], m
         s, k, l = best_of(m)
         return pd.DataFrame([(*[pdf[q].iloc[0] for q in keys], c, k, s, m[l == c].mean(0).tolist()) for c in np.unique(l)], columns=[*keys, "cluster", "k", "silhouette", "centre"])
 
-    share = F.lit(float(GROUP_ROWS)) / F.count("*").over(Window.partitionBy(*keys))
-    chosen = x.withColumn("_p", share).where(F.pmod(F.xxhash64(id_), F.lit(1 << 30)) < F.col("_p") * (1 << 30)).drop("_p")
+    share = x.groupBy(*keys).agg((F.lit(float(GROUP_ROWS)) / F.count("*")).alias("_p"))
+    chosen = x.join(broadcast_if_small(share), keys).where(F.pmod(F.xxhash64(id_), F.lit(1 << 30)) < F.col("_p") * (1 << 30)).drop("_p")
     head = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
     fitted = chosen.groupBy(*keys).applyInPandas(centres, f"{head}, cluster int, k int, silhouette double, centre array<double>")
     d = F.aggregate(F.zip_with(F.array(*[F.col(c).cast("double") for c in cols]), "centre", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    near = x.join(F.broadcast(fitted), keys).groupBy(*keys, id_).agg(F.min(F.struct(d.alias("d"), "cluster", "k", "silhouette")).alias("m"))  # at most nine rows a group
+    near = x.join(broadcast_if_small(materialise(fitted)), keys).groupBy(*keys, id_).agg(F.min(F.struct(d.alias("d"), "cluster", "k", "silhouette")).alias("m"))
     return near.select(*keys, id_, "m.cluster", "m.k", "m.silhouette")
