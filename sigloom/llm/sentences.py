@@ -102,7 +102,7 @@ class Place:
         self.end, self.sure, self.obs, self.marker_here, self.quote_here = end, sure, obs, marker_here, quote_here
 
 
-def _matched(tokens: list, text: str) -> dict[int, tuple[str, int]]:
+def _matched(tokens: list) -> dict[int, tuple[str, int]]:
     """Offsets of paired quotes and brackets -> (role, partner); pairs do not reach over a blank line."""
     roles: dict[int, tuple[str, int]] = {}
     stack: list[tuple[int, str]] = []
@@ -128,7 +128,8 @@ def _matched(tokens: list, text: str) -> dict[int, tuple[str, int]]:
 def places(text: str) -> list[Place]:
     """Every place of a text where a sentence may end, with what can be seen around it. A dot between digits is none."""
     tokens = list(_TOKEN.finditer(text))
-    roles = _matched(tokens, text)
+    quotes = [m for m in tokens if m.lastgroup in ("q", "blank")]
+    roles = _matched(quotes) if any(m.lastgroup == "q" for m in quotes) else {}
     out: list[Place] = []
     n = len(text)
     depth_end = -1  # no place before this offset: it lies within quotation marks or brackets
@@ -152,40 +153,45 @@ def places(text: str) -> list[Place]:
             if s >= depth_end:
                 out.append(Place(s, 0, ("thai", "ws", char_class(text[e]), "", text[s - 1], "", text[e])))
             continue
-        # closing marks after the end mark, also after a blank where their partner is open
         closed_quote = closed_bracket = False
         opener = -1
-        p = e
-        while p < n:
-            k = p
+        breaks = 0
+        after = text[e : e + 2]
+        if len(after) == 2 and after[0] == " " and after[1].isalnum():  # most places: one blank, then a word
+            if e <= depth_end:
+                continue
+            p = skip_to = e
+            k, nxt = e + 1, after[1]
+        else:
+            # closing marks after the end mark, also after a blank where their partner is open
+            p = e
+            while p < n:
+                k = p
+                while k < n and (text[k].isspace() or text[k] in UNSEEN):
+                    k += 1
+                gap = text[p:k]
+                if k < n and roles.get(k, ("", 0))[0] == "close" and (not gap or (len(gap) <= 2 and text[k] in "»")):
+                    closed_bracket |= text[k] in "）)]】"
+                    closed_quote |= text[k] not in "）)]】"
+                    opener = roles[k][1]
+                    p = k + 1
+                    continue
+                break
+            if p <= depth_end:
+                continue
+            while p < n and text[p] in UNSEEN:
+                p += 1
+            skip_to = k = p
             while k < n and (text[k].isspace() or text[k] in UNSEEN):
+                breaks += text[k] in "\n\r\u2028\u2029\x85"
                 k += 1
-            gap = text[p:k]
-            if k < n and roles.get(k, ("", 0))[0] == "close" and (not gap or (len(gap) <= 2 and text[k] in "»")):
-                closed_bracket |= text[k] in "）)]】"
-                closed_quote |= text[k] not in "）)]】"
-                opener = roles[k][1]
-                p = k + 1
-                continue
-            break
-        if p <= depth_end:
-            continue
-        while p < n and text[p] in UNSEEN:
-            p += 1
-        skip_to = p
-        c1 = text[p] if p < n else ""
-        k = p
-        breaks = 0
-        while k < n and (text[k].isspace() or text[k] in UNSEEN):
-            breaks += text[k] in "\n\r\u2028\u2029\x85"
-            k += 1
-        nxt = text[k] if k < n else ""
-        if breaks and nxt:
-            m2 = _TOKEN.match(text, p) if breaks > 1 or text[p] == "\u2029" else None
-            if m2 is None and breaks > 1:  # blanks may stand before the line's end
-                m2 = _TOKEN.match(text, p + len(text[p:k]) - len(text[p:k].lstrip(" \t\xa0")))
-            if m2 is not None and m2.lastgroup == "blank":
-                nxt = c1 = ""
+            nxt = text[k] if k < n else ""
+            if breaks and nxt:
+                m2 = _TOKEN.match(text, p) if breaks > 1 or text[p] == "\u2029" else None
+                if m2 is None and breaks > 1:  # blanks may stand before the line's end
+                    m2 = _TOKEN.match(text, p + len(text[p:k]) - len(text[p:k].lstrip(" \t\xa0")))
+                if m2 is not None and m2.lastgroup == "blank":
+                    nxt = ""
         before = text[max(para, s - 60) : s]
         if kind == "gq":
             letters = [c for c in text[max(last_end, s - 60) : s] if c.isalpha()]
@@ -203,7 +209,7 @@ def places(text: str) -> list[Place]:
                 mark = "bang" if set(run) <= set(".!?…") else "sure"
         gap = "" if not nxt else "nl" if breaks else "ws" if k > p else "x"
         cls = char_class(nxt)
-        role = roles.get(k, ("", 0))[0] if nxt else ""
+        role = roles.get(k, ("", 0))[0] if nxt and roles else ""
         cls = "o" if role == "open" else "p" if role == "close" else "s" if cls == "o" and nxt in '"“' and k not in roles else cls
         word = left_word(before)
         tail = before.rsplit(None, 2) if word and len(word) <= 2 else ()
@@ -440,7 +446,7 @@ def sentence_spans(text: str, model: Potentials) -> list[tuple[int, int]]:
     return spans
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, sample: int = 8000, longest: int = 200_000) -> dict[str, float]:
+def fit(docs: DataFrame, doc_id: str, text: str, sample: int = 5000, longest: int = 200_000) -> dict[str, float]:
     """Weights trained on about `sample` whole texts, those whose ids have the smallest hashes.
 
     The bounds of the training rows are these two parameters, whatever the corpus' size: texts over `longest` characters
@@ -462,7 +468,7 @@ def fit(docs: DataFrame, doc_id: str, text: str, sample: int = 8000, longest: in
     return train(texts, weak_labels(texts, [w for w, _ in got]))
 
 
-def split_sentences(docs: DataFrame, doc_id: str, text: str, weights: dict[str, float] | None = None, sample: int = 8000) -> DataFrame:
+def split_sentences(docs: DataFrame, doc_id: str, text: str, weights: dict[str, float] | None = None, sample: int = 5000) -> DataFrame:
     """(doc_id, sent_no, start_char, end_char): the sentences of every document, numbered from 1 in text order.
 
     Offsets count code points, the end is exclusive. Together the sentences cover all characters that are not white
