@@ -7,11 +7,10 @@ group of rows; iterations, permutations, time points and models are rows of a pa
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.operators.ranking import hash_order, slots
+from sigloom.operators.ranking import slots
 from sigloom.session import broadcast_if_small
 
 
