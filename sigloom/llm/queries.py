@@ -27,8 +27,8 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     ref = table(spark, d, "condition_ref")
-    trials = sampling.readable_trials(table(spark, d, "info"), ref)
-    plan = sampling.plan_needs(table(spark, d, "sample_plan"), ref)
+    trials = materialise(sampling.readable_trials(table(spark, d, "info"), ref))  # read for the counts and for the draw
+    plan = materialise(sampling.plan_needs(table(spark, d, "sample_plan"), ref))
     return trials, plan, sampling.draw(trials, plan)
 
 

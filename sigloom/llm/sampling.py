@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.session import broadcast_if_small
+from sigloom.session import broadcast_if_small, materialise
 
 #: Buckets of the accepted hash range in which a category's exact cut is located.
 BUCKETS = 4096
@@ -97,6 +97,7 @@ def draw(trials: DataFrame, plan: DataFrame, seed: int = 0, buckets: int = BUCKE
     x = trials.join(broadcast_if_small(goal), F.col("cohort").eqNullSafe(F.col("_co")) & (F.col("code_read") == F.col("_cr"))).withColumn("u", position(seed))
     # accepted trials are in the first buckets; the others stay behind them, for a plan row that comes out short
     x = x.withColumn("b", F.when(F.col("u") < F.col("p"), F.floor(F.col("u") / F.col("p") * buckets)).otherwise(buckets + F.floor((F.col("u") - F.col("p")) * buckets)).cast("int"))
+    x = materialise(x)
     counts = x.groupBy("_co", "_cr", "event_id", "need", "b").agg(F.count("*").alias("c"))
     run = F.sum("c").over(Window.partitionBy("_co", "_cr", "event_id").orderBy("b"))
     # the exact correction: up to which bucket all are kept, and how many of the bucket at the cut (null: keep all)
